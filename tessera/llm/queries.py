@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language, token_counts, toxicity, url_filter
+from . import bpe, language, suffix_dedup, token_counts, toxicity, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.RULES, url_filter.labelled_urls(spark))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -43,6 +47,7 @@ def queries() -> dict[str, Query]:
     return {
         "op2_byte_bpe": op2_byte_bpe,
         "op3_url_filter": op3_url_filter,
+        "op4_suffix_dedup": op4_suffix_dedup,
         "op8_toxicity": op8_toxicity,
         "op9_token_counts": op9_token_counts,
         "op10_language_id": op10_language_id,
