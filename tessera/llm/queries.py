@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language, minhash, suffix_dedup, token_counts, toxicity, url_filter
+from . import bpe, forest, language, minhash, sql, suffix_dedup, token_counts, toxicity, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,10 @@ def tokenizer(name: str) -> str:
     return importlib.import_module("public_tokenizers").path(name)
 
 
+def op1_embedding_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.classify(table(spark, sf_dir, "embeddings"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     pattern = importlib.import_module("public_tokenizers").PATTERN
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_multi_50k.tiktoken"), pattern)
@@ -49,6 +53,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_embedding_neighbours": op1_embedding_neighbours,
         "op2_byte_bpe": op2_byte_bpe,
         "op3_url_filter": op3_url_filter,
         "op4_suffix_dedup": op4_suffix_dedup,
@@ -60,4 +65,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_embedding_neighbours": sql.OP1, "op4_suffix_dedup": sql.OP4}
