@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, forest, language, minhash, sql, suffix_dedup, token_counts, toxicity, url_filter
+from . import bpe, fingerprint, forest, language, minhash, mixing, sql, suffix_dedup, token_counts, toxicity, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,14 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(table(spark, sf_dir, "documents"))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_with_next(table(spark, sf_dir, "documents"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"))
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classify(table(spark, sf_dir, "documents"))
 
@@ -57,6 +65,8 @@ def queries() -> dict[str, Query]:
         "op2_byte_bpe": op2_byte_bpe,
         "op3_url_filter": op3_url_filter,
         "op4_suffix_dedup": op4_suffix_dedup,
+        "op5_fingerprints": op5_fingerprints,
+        "op6_mixing": op6_mixing,
         "op7_minhash": op7_minhash,
         "op8_toxicity": op8_toxicity,
         "op9_token_counts": op9_token_counts,
@@ -65,4 +75,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_neighbours": sql.OP1, "op4_suffix_dedup": sql.OP4}
+    return {"op1_embedding_neighbours": sql.OP1, "op4_suffix_dedup": sql.OP4, "op6_mixing": sql.OP6}

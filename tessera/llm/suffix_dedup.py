@@ -387,19 +387,19 @@ def _cut(text: bytes, parts: list[bytes] | None) -> tuple[bytes, int, int]:
     return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)), int((end - start).sum()), len(start)
 
 
-def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, batches: int = BATCHES) -> DataFrame:
-    """All columns of ``docs``, and ``kept`` (bytes), ``n_bytes``, ``n_removed``, ``n_spans``; of these, columns of the same names are replaced."""
+def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, batches: int = BATCHES, as_text: bool = False) -> DataFrame:
+    """All columns of ``docs``, and ``kept`` (bytes; ``as_text``: a string, without characters that a cut has parted), ``n_bytes``, ``n_removed``, ``n_spans``; of these, columns of the same names are replaced."""
     spans = find_spans(docs, id_col, text_col, window, batches).select(F.col("doc_id").alias("_span_id"), F.col("spans").alias("_spans"))
     names = [c for c in docs.columns if c not in ("kept", "n_bytes", "n_removed", "n_spans", "_span_id", "_spans")]
     rows = docs.select(*names).join(spans, F.col(id_col).cast("long") == F.col("_span_id"), "left").select(*names, text_of(text_col).alias("_text"), "_spans")
-    schema = T.StructType([*(rows.schema[c] for c in names), T.StructField("kept", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans"))])
+    schema = T.StructType([*(rows.schema[c] for c in names), T.StructField("kept", T.StringType() if as_text else T.BinaryType()), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans"))])
 
     def run(batches_: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches_:
             texts = [t.encode() for t in b.column("_text").to_pylist()]
             out = [_cut(t, s) for t, s in zip(texts, b.column("_spans").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(c) for c in names), pa.array([x[0] for x in out], pa.binary()), *(pa.array(v, pa.int64()) for v in (list(map(len, texts)), [x[1] for x in out], [x[2] for x in out]))],
+                [*(b.column(c) for c in names), pa.array([x[0].decode(errors="ignore") for x in out], pa.string()) if as_text else pa.array([x[0] for x in out], pa.binary()), *(pa.array(v, pa.int64()) for v in (list(map(len, texts)), [x[1] for x in out], [x[2] for x in out]))],
                 [*names, "kept", "n_bytes", "n_removed", "n_spans"],
             )
 

@@ -138,18 +138,20 @@ def _fit(taken: list[tuple[int, bytes]], ratios: np.ndarray, texts: np.ndarray)
     return Model(w, ratios, b)
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = [], bits: int = BITS, sizes: tuple[int, ...] = SIZES) -> DataFrame:  # noqa: B006
-    """One row per row of ``docs``: id, score (0 to 1) and predicted (score >= 0.5)."""
+def score(docs: DataFrame, model: Model, text_col: str = "text", bits: int = BITS, sizes: tuple[int, ...] = SIZES) -> DataFrame:
+    """All columns of ``docs`` with score (0 to 1) and predicted (score >= 0.5); columns of these names are replaced."""
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col(id_col), text_of(text_col).alias("text"))
+    names = [c for c in docs.columns if c not in ("score", "predicted")]
+    rows = docs.select(*names, text_of(text_col).alias("_text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, fitted = Features(bits, sizes), shared.value
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fitted.score(own.of(t)) for t in b.column(1).to_pylist()], pa.float64())], [id_col, "score"])
+            scores = pa.array([fitted.score(own.of(t)) for t in b.column(len(names)).to_pylist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], scores], [*names, "score"])
 
-    out = rows.mapInArrow(run, T.StructType([T.StructField(id_col, rows.schema[0].dataType), T.StructField("score", T.DoubleType())]))
+    out = rows.mapInArrow(run, T.StructType([*rows.schema[: len(names)], T.StructField("score", T.DoubleType())]))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
@@ -161,4 +163,4 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Contract columns: learned from labelled rows outside the held-out fifth, scored for all."""
-    return score(docs, learn(training_rows(docs, labels))).select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+    return score(docs.select("doc_id", "text"), learn(training_rows(docs, labels))).select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
