@@ -18,7 +18,7 @@ _QUANTILES = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def is_small(df: DataFrame) -> bool:
