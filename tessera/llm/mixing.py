@@ -77,7 +77,7 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, float]], share: float, epo
     """Rows of ``docs`` that are taken, with ``_domain``, ``_tokens`` and ``_copies`` (1 to ``epochs``)."""
     spark = docs.sparkSession
     work = Workspace(spark, "mixing")
-    placed = docs.drop("_domain", "_tokens", "_copies", "_lang", "_source")
+    placed = docs.drop(*(f"_{x}" for x in ("domain", "lang", "source", "tokens", "copies", "key", "slot", "whole", "rest", "cut", "start")))
     names = placed.columns
     placed = placed.withColumn("_domain", F.coalesce(domain if domain is not None else domain_of_source(), F.lit(""))).withColumn("_lang", F.coalesce(F.col("lang").cast("string"), F.lit(""))).withColumn("_source", F.coalesce(F.col("source").cast("string"), F.lit("")))
     placed = placed.withColumn("_tokens", F.coalesce(F.regexp_count("text", F.lit(TOKEN)), F.lit(0)).cast("long"))
@@ -85,25 +85,25 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, float]], share: float, epo
     narrow = work.keep(placed.select("doc_id", *keys, "_tokens"))
     leaves = narrow.groupBy(*keys).agg(F.sum("_tokens").alias("tokens")).toDF(*LEVELS, "tokens")
     quota = quotas(leaves, weights, share, epochs).where("tokens > 0")
-    quota = quota.withColumn("whole", F.expr("quota div tokens")).withColumn("rest", F.expr("quota % tokens")).where("quota > 0").toDF(*keys, "tokens", "quota", "whole", "rest")
+    quota = quota.where("quota > 0").select(*LEVELS, F.expr("quota div tokens"), F.expr("quota % tokens")).toDF(*keys, "_whole", "_rest")
     quota = work.keep(quota)
     few = quota.count() <= MAX_BROADCAST
 
     def with_leaf(rows: DataFrame, table: DataFrame) -> DataFrame:
         rows = rows.join(F.broadcast(table) if few else table, keys)
-        name = F.concat(F.lit(f"{seed}:"), F.col("whole").cast("string"), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+        name = F.concat(F.lit(f"{seed}:"), F.col("_whole").cast("string"), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
         return rows.withColumn("_key", F.md5(name.cast("binary"))).withColumn("_slot", F.substring("_key", 1, 3))
 
-    slots = with_leaf(narrow, quota).groupBy(*keys, "_slot", "whole", "rest").agg(F.sum("_tokens").alias("n"))
+    slots = with_leaf(narrow, quota).groupBy(*keys, "_slot", "_rest").agg(F.sum("_tokens").alias("n"))
     upto = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, 0)
-    slots = slots.withColumn("end", F.sum("n").over(upto)).where("end > rest")
+    slots = slots.withColumn("end", F.sum("n").over(upto)).where("end > _rest")
     cut = slots.groupBy(*keys).agg(F.min(F.struct("_slot", (F.col("end") - F.col("n")).alias("start"))).alias("cut"))
-    table = work.keep(quota.join(cut, keys).select(*keys, "whole", "rest", F.col("cut._slot").alias("cut_slot"), "cut.start"))
+    table = work.keep(quota.join(cut, keys).select(*keys, "_whole", "_rest", F.col("cut._slot").alias("_cut"), F.col("cut.start").alias("_start")))
     rows = with_leaf(placed, table)
-    copies = F.col("whole") + F.when(F.col("_slot") < F.col("cut_slot"), 1).otherwise(0)
-    outside = rows.where("_slot <> cut_slot").withColumn("_copies", copies)
+    copies = F.col("_whole") + F.when(F.col("_slot") < F.col("_cut"), 1).otherwise(0)
+    outside = rows.where("_slot <> _cut").withColumn("_copies", copies)
     order = Window.partitionBy(*keys, "_slot").orderBy("_key", "doc_id", "_tokens").rowsBetween(Window.unboundedPreceding, 0)
-    inside = rows.where("_slot = cut_slot").withColumn("_copies", F.col("whole") + (F.col("start") + F.sum("_tokens").over(order) <= F.col("rest")).cast("int"))
+    inside = rows.where("_slot = _cut").withColumn("_copies", F.col("_whole") + (F.col("_start") + F.sum("_tokens").over(order) <= F.col("_rest")).cast("int"))
     out = [*names, "_domain", "_tokens", F.col("_copies").cast("int").alias("_copies")]
     return outside.select(*out).unionAll(inside.select(*out)).where("_copies > 0")
 
