@@ -42,7 +42,9 @@ from .common import Workspace, prepare, text_of
 
 WINDOW, GRAM = 50, 16
 #: Bytes of text that are looked at together; bytes of suffixes in a shard, from which their number follows.
-BLOCK_BYTES, SHARD_BYTES, LEAST_SHARDS = 4 << 20, 64 << 20, 64
+BLOCK_BYTES, SHARD_BYTES, LEAST_SHARDS = 1 << 20, 24 << 20, 64
+#: Windows that are compared together; groups of shards that are worked on one after another, which divides the disk that is held.
+SLICE, GROUPS = 1 << 20, 2
 #: Bytes kept of suffixes for each byte of text, roughly; batches of a one-off run.
 KEPT_PER_BYTE, BATCHES = 3.7, 3
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -128,8 +130,8 @@ class Run:
         return Run(*(np.concatenate([getattr(r, f) for r in runs]) for f in ("doc", "at", "windows", "anchor", "data")), window)
 
 
-def suffixes(texts: list[bytes], docs: np.ndarray, window: int = WINDOW) -> tuple[Run, np.ndarray]:
-    """The anchored suffixes of a block of texts; and the loads' fingerprint of each one's bytes."""
+def suffixes(texts: list[bytes], docs: np.ndarray, window: int = WINDOW, shards: int = 1, group: int = 0, groups: int = 1) -> tuple[Run, np.ndarray, np.ndarray]:
+    """The anchored suffixes of a block of texts whose shards are of the group; each one's fingerprint and shard."""
     data = np.frombuffer(b"".join(texts) + bytes(16), np.uint8)
     n = len(data) - 16
     size = np.array([len(t) for t in texts], np.int64)
@@ -148,16 +150,20 @@ def suffixes(texts: list[bytes], docs: np.ndarray, window: int = WINDOW) -> tupl
     count = np.maximum(size - window + 1, 0)
     places = _ranges(begin, count)
     if not len(places):
-        return Run.join([], window), np.zeros(0, np.uint64)
+        return Run.join([], window), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     anchors = (low[places] & np.uint64(0xFFFFFFFF)).astype(np.int64)
     new = np.r_[True, (anchors[1:] != anchors[:-1]) | (places[1:] != places[:-1] + 1)]
     first = np.flatnonzero(new)
     windows = np.diff(np.r_[first, len(places)])
     at, anchors = places[first], anchors[first]
+    home = (_mix(loads[anchors], loads[anchors + 8] * _C[2], _C[3]) % np.uint64(shards)).astype(np.int64)
+    if groups > 1:
+        own = home % groups == group
+        windows, at, anchors, home = windows[own], at[own], anchors[own], home[own]
     text = np.searchsorted(begin, at, "right") - 1
     lengths = windows + (window - 1)
     print_ = _mix(_mix(fingerprints(loads, at, window), windows.astype(np.uint64), _C[3]), fingerprints(loads, at + lengths - window, window), _C[2])
-    return Run(docs[text], at - begin[text], windows.astype(np.uint16), (anchors - at).astype(np.uint16), data[_ranges(at, lengths)], window), print_
+    return Run(docs[text], at - begin[text], windows.astype(np.uint16), (anchors - at).astype(np.uint16), data[_ranges(at, lengths)], window), print_, home
 
 
 def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -189,13 +195,30 @@ def scan(new: Run, old: Run) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray],
     start = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
     first = np.flatnonzero(start)
     shared = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
-    which = np.sort(order[shared[np.cumsum(start) - 1]])
+    which = order[shared[np.cumsum(start) - 1]]
     if not len(which):
         return (none, none, none), new
+    # Groups of suffixes with equal heads, taken so many together that their windows are about SLICE.
+    head = np.flatnonzero(start[shared[np.cumsum(start) - 1]])
+    upto = np.cumsum(both.windows[which].astype(np.int64))
+    slice_ = (upto[head] - both.windows[which[head]]) // SLICE
+    cuts = [*head[np.r_[True, slice_[1:] != slice_[:-1]]].tolist(), len(which)]
+    loads, starts = _loads(both.data), both.starts()
+    found, hits = [], np.zeros(n, np.int64)
+    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+        _scan_slice(new, both, which[i:j], loads, starts, found, hits)
+    if not found:
+        return (none, none, none), new
+    spans = merged(*(np.concatenate(x) for x in zip(*found, strict=True)))
+    return spans, new.take(np.flatnonzero(hits < new.windows))
+
+
+def _scan_slice(new: Run, both: Run, which: np.ndarray, loads: np.ndarray, starts: np.ndarray, found: list, hits: np.ndarray) -> None:
+    """``scan`` of some suffixes: adds their spans to ``found`` and their repeated windows to ``hits``."""
+    window, n = new.window, len(new.doc)
     count = both.windows[which].astype(np.int64)
-    at = _ranges(both.starts()[which], count)
     owner = np.repeat(which, count)
-    prints = fingerprints(_loads(both.data), at, window)
+    prints = fingerprints(loads, _ranges(starts[which], count), window)
     doc = both.doc[owner]
     order = np.lexsort((doc, prints))
     sorted_ = prints[order]
@@ -206,15 +229,14 @@ def scan(new: Run, old: Run) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray],
     repeat &= owner < n
     hit = np.flatnonzero(repeat)
     if not len(hit):
-        return (none, none, none), new
+        return
     begin = np.repeat(np.cumsum(count) - count, count)
     run = np.flatnonzero(np.r_[True, (hit[1:] != hit[:-1] + 1) | (owner[hit[1:]] != owner[hit[:-1]])])
     low, high = hit[run], hit[np.r_[run[1:], len(hit)] - 1]
     own = owner[low]
     offset = new.at[own] - begin[low]
-    spans = merged(new.doc[own], low + offset, high + offset + window)
-    whole = np.bincount(owner[hit], minlength=n)[:n] == new.windows
-    return spans, new.take(np.flatnonzero(~whole))
+    found.append(merged(new.doc[own], low + offset, high + offset + window))
+    hits += np.bincount(owner[hit], minlength=n)[:n]
 
 
 def _pack_spans(spans: tuple[np.ndarray, ...]) -> bytes:
@@ -235,12 +257,12 @@ def _blocks(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[tuple[np.n
         yield np.array(docs, np.int64), texts
 
 
-def batch_runs(docs: DataFrame, shards: int, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Runs of each block and shard (kind ``new``), and the spans that repeat within a block (kind ``spans``)."""
+def batch_runs(docs: DataFrame, shards: int, window: int = WINDOW, group: int = 0, groups: int = 1, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Runs of each block and shard of the group (kind ``new``), and the spans that repeat within a block (kind ``spans``)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in _blocks(batches, block_bytes):
-            found, prints = suffixes(texts, ids, window)
+            found, prints, home = suffixes(texts, ids, window, shards, group, groups)
             if not len(found.doc):
                 continue
             order = np.lexsort((found.doc, prints))
@@ -254,11 +276,10 @@ def batch_runs(docs: DataFrame, shards: int, window: int = WINDOW, block_bytes:
                 at = found.at[again]
                 spans = merged(found.doc[again], at, at + found.lengths[again])
                 kinds.append("spans")
-                homes.append(zlib.crc32(np.int64(ids[0]).tobytes()) % shards)
+                homes.append(zlib.crc32(np.int64(ids[0]).tobytes()) % (shards // groups) * groups + group)
                 blobs.append(_pack_spans(spans))
-            rest = found.take(np.flatnonzero(~again))
+            rest, home = found.take(np.flatnonzero(~again)), home[~again]
             a, b = rest.heads()
-            home = (_mix(a, b * _C[2], _C[3]) % np.uint64(shards)).astype(np.int64)
             order = np.lexsort((rest.doc, b, a, home))
             cuts = np.searchsorted(home[order], np.arange(shards + 1))
             rest = rest.take(order)
@@ -278,10 +299,10 @@ def batch_runs(docs: DataFrame, shards: int, window: int = WINDOW, block_bytes:
 class SuffixIndex:
     """The levels of an index; ``add`` takes documents whose ids are larger than all before."""
 
-    def __init__(self, spark: SparkSession, shards: int, window: int = WINDOW, workspace: Workspace | None = None) -> None:
+    def __init__(self, spark: SparkSession, shards: int, window: int = WINDOW, group: int = 0, groups: int = 1, workspace: Workspace | None = None) -> None:
         if window < 2 * GRAM:
             raise ValueError(f"windows of under {2 * GRAM} bytes are not supported")
-        self.spark, self.shards, self.window = spark, shards, window
+        self.spark, self.shards, self.window, self.group, self.groups = spark, shards, window, group, groups
         self.work = workspace or Workspace(spark, "suffix")
         #: (size in batches, table of runs, its path), largest first.
         self.levels: list[tuple[int, DataFrame, str]] = []
@@ -297,7 +318,7 @@ class SuffixIndex:
             merging.append(self.levels[-1 - len(merging)])
             size *= 2
         stay = [x for x in self.levels if x not in merging]
-        runs = batch_runs(docs, self.shards, self.window)
+        runs = batch_runs(docs, self.shards, self.window, self.group, self.groups)
         for _, table, _ in stay:
             runs = runs.unionAll(table.select(F.lit("stay").alias("kind"), "shard", "data"))
         for _, table, _ in merging:
@@ -337,25 +358,32 @@ class SuffixIndex:
         self.spans.append(done.where("kind = 'spans'") if last else self.work.keep(done.where("kind = 'spans'")))
         return self.spans[-1]
 
-    def found(self) -> DataFrame:
-        """All spans found: doc_id and ``spans``, pairs of 64-bit start and end; several rows a document."""
+    def close(self) -> None:
+        """Remove the levels; spans stay."""
+        for _, _, path in self.levels:
+            self.work.drop(path)
+        self.levels = []
+
 
-        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for blob in b.column(0).to_pylist():
-                    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), "<i8")
-                    doc, start, end = raw.reshape(3, -1)
-                    first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-                    offsets = (np.r_[first, len(doc)] * 16).astype("<i4")
-                    pairs = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.stack([start, end], 1).tobytes())])
-                    whole = pa.RecordBatch.from_arrays([pa.array(doc[first]), pairs], ["doc_id", "spans"])
-                    for i in range(0, len(first), 20_000):
-                        yield whole.slice(i, 20_000)
+def unpacked(spans: list[DataFrame]) -> DataFrame:
+    """All spans found: doc_id and ``spans``, pairs of 64-bit start and end; several rows a document."""
 
-        out = self.spans[0]
-        for x in self.spans[1:]:
-            out = out.unionAll(x)
-        return out.select("data").mapInArrow(run, "doc_id long, spans binary")
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for blob in b.column(0).to_pylist():
+                raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), "<i8")
+                doc, start, end = raw.reshape(3, -1)
+                first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+                offsets = (np.r_[first, len(doc)] * 16).astype("<i4")
+                pairs = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.stack([start, end], 1).tobytes())])
+                whole = pa.RecordBatch.from_arrays([pa.array(doc[first]), pairs], ["doc_id", "spans"])
+                for i in range(0, len(first), 20_000):
+                    yield whole.slice(i, 20_000)
+
+    out = spans[0]
+    for x in spans[1:]:
+        out = out.unionAll(x)
+    return out.select("data").mapInArrow(run, "doc_id long, spans binary")
 
 
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, batches: int = BATCHES) -> DataFrame:
@@ -364,16 +392,20 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     prepare(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).where(F.col("doc_id").isNotNull())
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(LEAST_SHARDS, math.ceil(total * KEPT_PER_BYTE / SHARD_BYTES))
-    index = SuffixIndex(spark, shards, window)
+    shards = GROUPS * math.ceil(max(LEAST_SHARDS, total * KEPT_PER_BYTE / SHARD_BYTES) / GROUPS)
     cuts = sorted(set(rows.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01))) if batches > 1 else []
     edges = [None, *map(int, cuts), None]
-    for low, high in zip(edges[:-1], edges[1:], strict=True):
-        part = rows
-        part = part if low is None else part.where(F.col("doc_id") > low)
-        part = part if high is None else part.where(F.col("doc_id") <= high)
-        index.add(part, last=high is None)
-    return index.found().groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
+    spans: list[DataFrame] = []
+    for group in range(GROUPS):
+        index = SuffixIndex(spark, shards, window, group, GROUPS)
+        for low, high in zip(edges[:-1], edges[1:], strict=True):
+            part = rows
+            part = part if low is None else part.where(F.col("doc_id") > low)
+            part = part if high is None else part.where(F.col("doc_id") <= high)
+            index.add(part, last=high is None)
+        index.close()
+        spans += index.spans
+    return unpacked(spans).groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
 
 
 def _cut(text: bytes, parts: list[bytes] | None) -> tuple[bytes, int, int]:
