@@ -28,9 +28,9 @@ from .common import prepare, text_of
 
 NONE = np.int32(2**31 - 1)
 #: Bytes of text whose new pre-tokens are replayed together.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 10 << 20
 #: Units that a worker remembers between blocks at most, and the length from which a unit is long.
-CACHE_UNITS, LONG_UNIT = 600_000, 256
+CACHE_UNITS, LONG_UNIT = 200_000, 256
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
