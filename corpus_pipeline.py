@@ -19,7 +19,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learned from the labels, does not reject."""
-    model = toxicity.learn(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
+    model = toxicity.learn(docs, toxicity.training_labels(table(spark, sf_dir, "labels")))
     return toxicity.score(docs.select(*COLUMNS), model).where("predicted = 0").select(*COLUMNS)
 
 

@@ -2,12 +2,13 @@
 
 Features are the hashed byte n-grams (of lower-cased text, white space as one space) that a text has;
 each is worth its log-count ratio between toxic and other texts, over all labelled training texts. A
-logistic regression on these values, at unit length, is fitted by gradient descent on at most
-``fit_rows`` labelled texts: the smallest hashes of each label. The ratios cover all labelled rows.
+logistic regression on these values, at unit length, is fitted by gradient descent. Ratios come from about
+``LEARN_ROWS`` labelled texts at most, the regression from about ``FIT_ROWS`` of each label: those whose
+ids have the smallest hashes. This sample of labels, two numbers a row, is broadcast, so no text is shuffled.
 
 Defined results: null and empty texts have no feature and get the score of the intercept alone; rows
 without a label, or with a null one, do not teach; a text labelled more than once teaches once a
-label row; if only one label (or none) is there, every score is that label's share (0 for none).
+label row; if only one label (or none) is there, every score is next to that label (0 for none).
 Repeated rows repeat; ids may be null; columns other than the named ones are left out.
 """
 
@@ -22,12 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, prepare, text_of
+from .common import Workspace, crc_mod, prepare, text_of
 
-BITS, SIZES = 18, (5,)
-#: Labelled texts of each label on which the regression is fitted at most.
+BITS, SIZES = 18, (4,)
+#: Labelled texts from which ratios are learned, and of each label those on which the regression is fitted (about, at most).
+LEARN_ROWS = 40_000
 FIT_ROWS = 1_500
-STEPS, SMOOTH, DECAY = 80, 1.0, 1e-4
+#: Steps of the descent, what is added to counts, texts a feature must be in, and the penalty on squared weights.
+STEPS, SMOOTH, LEAST, DECAY = 80, 0.3, 3, 1e-4
 _SPACE = re.compile(r"\s+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -71,42 +74,52 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS, bits: int = BITS, sizes: tuple[int, ...] = SIZES) -> Model:
-    """The model of ``labelled``, rows of a text and a label of 0 or 1."""
-    prepare(labelled.sparkSession)
-    rows = labelled.where(F.col(label_col).isin(0, 1)).select(text_of(text_col).alias("text"), F.col(label_col).cast("int").alias("label"))
+def taught(labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic", learn_rows: int = LEARN_ROWS, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """About ``learn_rows`` of the labels at most (``_id``, ``label``), of which about ``fit_rows`` of each label are marked ``fit``."""
+    rows = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("label"))
+    number = {r.label: r.n for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    draw = (F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) / (1 << 30)).cast("double")
+    part = min(1.0, learn_rows / max(1, sum(number.values())))
+    fit = {y: min(part, fit_rows / max(1, n)) for y, n in number.items()}
+    return rows.where(draw < part).withColumn("fit", draw < F.when(F.col("label") == 1, fit.get(1, 1.0)).otherwise(fit.get(0, 1.0)))
 
-    def counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, sizes: tuple[int, ...] = SIZES) -> Model:
+    """The model of the texts that ``labels`` (see ``taught``) marks; the labels, which are bounded, are broadcast."""
+    prepare(docs.sparkSession)
+    rows = docs.join(F.broadcast(labels), F.col(id_col) == F.col("_id")).select(text_of(text_col).alias("text"), "label", "fit")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, sums = Features(bits, sizes), np.zeros((2, (1 << bits) + 1), np.int64)
+        names = ["label", "feature", "n", "features"]
         for b in batches:
-            for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                sums[label][own.of(text)] += 1
+            labels_, fitted = [], []
+            for text, label, fit in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                found = own.of(text)
+                sums[label][found] += 1
                 sums[label][-1] += 1
+                if fit:
+                    labels_.append(label)
+                    fitted.append(found.astype("<i4").tobytes())
+            none = pa.nulls(len(fitted))
+            yield pa.RecordBatch.from_arrays([pa.array(labels_, pa.int32()), none.cast(pa.int32()), none.cast(pa.int64()), pa.array(fitted, pa.binary())], names)
         for label in (0, 1):
             has = np.flatnonzero(sums[label])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(has), label, np.int32)), pa.array(has.astype(np.int32)), pa.array(sums[label][has])], ["label", "feature", "n"])
-
-    def sparse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Features(bits, sizes)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([own.of(t).astype("<i4").tobytes() for t in b.column(0).to_pylist()], pa.binary())], ["label", "features"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(has), label, np.int32)), pa.array(has.astype(np.int32)), pa.array(sums[label][has]), pa.nulls(len(has), pa.binary())], names)
 
+    found = Workspace(docs.sparkSession, "toxicity").keep(rows.mapInArrow(run, "label int, feature int, n long, features binary"))
     number = np.zeros((2, (1 << bits) + 1))
-    total = rows.mapInArrow(counts, "label int, feature int, n long").groupBy("label", "feature").agg(F.sum("n").alias("n"))
-    got = total.toPandas()  # at most 2 x 2 ** bits rows
+    got = found.where("feature IS NOT NULL").groupBy("label", "feature").agg(F.sum("n").alias("n")).toPandas()  # at most 2 x 2 ** bits rows
     number[got["label"].to_numpy(int), got["feature"].to_numpy(int)] = got["n"]
     texts = number[:, -1].copy()
     zero = np.zeros(1 << bits)
     if not texts.all():
-        share = texts[1] / max(texts.sum(), 1)
-        return Model(zero, zero, 30.0 if share == 1 else -30.0)
+        return Model(zero, zero, 30.0 if texts[1] > 0 else -30.0)
+    rare = number[:, :-1].sum(0) < LEAST
     number = number[:, :-1] + SMOOTH
     ratios = np.log(number[1] / (texts[1] + 2 * SMOOTH)) - np.log(number[0] / (texts[0] + 2 * SMOOTH))
-
-    order = F.xxhash64("text")
-    chosen = rows.where(F.col("label") == 1).orderBy(order, "text").limit(fit_rows).unionAll(rows.where(F.col("label") == 0).orderBy(order, "text").limit(fit_rows))
-    fit = chosen.repartition(max(2, min(32, fit_rows // 250)), order).mapInArrow(sparse, "label int, features binary")
-    taken = sorted((r.label, bytes(r.features)) for r in fit.toLocalIterator())
+    ratios[rare] = 0
+    taken = sorted((r.label, bytes(r.features)) for r in found.where("features IS NOT NULL").select("label", "features").toLocalIterator())
     return _fit(taken, ratios, texts)
 
 
@@ -120,15 +133,16 @@ def _fit(taken: list[tuple[int, bytes]], ratios: np.ndarray, texts: np.ndarray)
     value = ratios.astype(np.float32)[column]
     size = np.sqrt(np.maximum(np.bincount(row, value * value, len(found)), 1e-12)).astype(np.float32)
     value /= size[row]
-    # Rows stand for their label's share of all labelled texts.
-    weight = np.where(label == 1, texts[1] / max(1, label.sum()), texts[0] / max(1, (1 - label).sum())) / texts.sum()
+    # Labels weigh as the square roots of their numbers: between their shares and being equal.
+    share = np.sqrt(texts) / np.sqrt(texts).sum()
+    weight = np.where(label == 1, share[1] / max(1, label.sum()), share[0] / max(1, (1 - label).sum()))
     w, b = np.zeros(len(ratios)), 0.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     w += 1.0
     for step in range(1, STEPS + 1):
         z = np.bincount(row, w[column] * value, len(found)) + b
         error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - label) * weight
-        g = np.bincount(column, error[row] * value, len(w)) + DECAY * w * 0.01
+        g = np.bincount(column, error[row] * value, len(w)) + DECAY * w
         gb = float(error.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
@@ -155,12 +169,12 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", bits: int = BIT
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labelled texts outside the held-out fifth; of the labels, only doc_id and toxic are read."""
-    taught = labels.where(F.col("toxic").isNotNull() & (crc_mod("doc_id", 5) != 0)).select("doc_id", "toxic")
-    return docs.select("doc_id", "text").join(taught, "doc_id")
+def training_labels(labels: DataFrame) -> DataFrame:
+    """Labels outside the held-out fifth, within the bound."""
+    return taught(labels.where(crc_mod("doc_id", 5) != 0))
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Contract columns: learned from labelled rows outside the held-out fifth, scored for all."""
-    return score(docs.select("doc_id", "text"), learn(training_rows(docs, labels))).select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+    texts = docs.select("doc_id", "text")
+    return score(texts, learn(texts, training_labels(labels))).select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
