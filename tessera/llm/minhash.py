@@ -8,7 +8,7 @@ searched up to (k ln k + 4k) / total weight, twice as far for the few texts with
 
 Texts with equal elements are one class from the start. For the rest, ``BANDS`` bands of ``ROWS``
 coordinates deal texts to buckets. In rounds, each bucket's members are compared with one member (the
-first by a hash that changes by round): a pair is checked exactly, on the texts, and found links join
+one that shares most buckets with others, then the first by a hash): a pair is checked exactly, on the texts, and found links join
 classes. What is left in buckets that still hold several classes is compared pair by pair, in
 blocks and by signature, and pairs whose signatures agree in ``NEAR`` of the coordinates (over five
 standard deviations below the threshold) are checked exactly too. So no link in a common bucket is
@@ -37,8 +37,8 @@ from .components import components
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 5
-#: Share of equal coordinates below which a pair is not checked in the last round: P(J >= 0.8 and less) < 1e-7.
-NEAR = 0.6
+#: Share of equal coordinates below which a pair is not checked in the last round; one of similarity 0.8 has less with probability 3e-5.
+NEAR = 0.65
 ROUNDS, BLOCK = 2, 1500
 #: Words whose hashes a worker remembers.
 CACHE_WORDS = 400_000
@@ -192,15 +192,16 @@ def verify(pairs: DataFrame, docs: DataFrame, threshold: float, weighted: bool =
     return pairs.join(right, "v").join(left, "u").select("u", "v", "tu", "tv").mapInArrow(run, schema)
 
 
-def _leftover_pairs(rest: DataFrame, k: int) -> DataFrame:
-    """Pairs of different classes in common buckets whose signatures are near; each once, from its first common bucket.
+def _leftover_links(rest: DataFrame, texts: DataFrame, threshold: float, weighted: bool, k: int) -> DataFrame:
+    """Links (u, v) between different classes in common buckets, as stars: each text to the least that it leads to there.
 
-    ``rest``: key, id, component, n, sig, bands. Buckets are cut into blocks, and blocks are compared two by two.
+    ``rest``: key, id, component, n, sig, bands. Buckets are cut into blocks, and blocks are compared two by two,
+    a pair only in its first common bucket. Texts go to their buckets, so that no pair is written.
     """
     sizes = rest.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    rows = rest.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rest.join(texts, "id").join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "n", "sig", "bands")
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "n", "sig", "bands", "text")
 
     def run(group: pa.Table) -> pa.Table:
         key, i, j = (group.column(c)[0].as_py() for c in ("key", "i", "j"))
@@ -208,20 +209,28 @@ def _leftover_pairs(rest: DataFrame, k: int) -> DataFrame:
         ids, classes, n = (group.column(c).to_numpy() for c in ("id", "component", "n"))
         sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), "<u2").reshape(len(ids), k)
         bands = np.array(group.column("bands").to_pylist(), np.int64)
+        texts_ = group.column("text")
+        sets: dict[int, tuple] = {}
         us, vs = [], []
         second = np.flatnonzero(own == j)
         for x in np.flatnonzero(own == i):
             y = second[(classes[second] != classes[x]) & (ids[second] != ids[x])]
-            y = y[(np.minimum(n[y], n[x]) >= THRESHOLD * np.maximum(n[y], n[x]))]
+            y = y[(np.minimum(n[y], n[x]) >= threshold * np.maximum(n[y], n[x]))]
             if i == j:
                 y = y[ids[y] > ids[x]]
             y = y[(sig[y] == sig[x]).mean(1) >= NEAR] if len(y) else y
             if len(y):
-                common = bands[y] == bands[x]
-                y = y[bands[x][np.argmax(common, 1)] == key]
-                us.append(np.minimum(ids[x], ids[y]))
-                vs.append(np.maximum(ids[x], ids[y]))
-        return pa.table({"u": np.concatenate(us) if us else np.zeros(0, np.int64), "v": np.concatenate(vs) if vs else np.zeros(0, np.int64)})
+                y = y[bands[x][np.argmax(bands[y] == bands[x], 1)] == key]
+            for z in y.tolist():
+                for p in (int(x), z):
+                    if p not in sets:
+                        sets[p] = shingles(texts_[p].as_py())
+                if classes[z] != classes[x] and similarity(sets[int(x)], sets[z], weighted) >= threshold:
+                    us.append(int(ids[x]))
+                    vs.append(int(ids[z]))
+                    # From here on they are one class in this group, and need no more comparisons.
+                    classes = np.where(classes == classes[z], classes[x], classes)
+        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
     return rows.groupBy("key", "i", "j").applyInArrow(run, "u long, v long")
 
@@ -238,12 +247,15 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     member = work.keep(all_.select("id", *equal).join(firsts, equal).groupBy("id").agg(F.min("rep").alias("rep")))
     reps = all_.join(firsts.select("rep"), F.col("id") == F.col("rep"), "left_semi").dropDuplicates(["id"])
     bucket = reps.select("id", "n", F.explode("bands").alias("key"))
-    shared = bucket.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("key")
+    shared = bucket.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     bucket = work.keep(bucket.join(shared, "key"))
+    # Texts that share buckets with most others are compared with first: what a group of edited copies comes from.
+    central = bucket.groupBy("id").agg(F.sum("members").alias("central"))
+    bucket = work.keep(bucket.join(central, "id").select("id", "n", "key", "central"))
     found: DataFrame | None = None
     classes = bucket.select(F.col("id").alias("node"), F.col("id").alias("component")).distinct()
     for r in range(ROUNDS):
-        first = F.struct(F.xxhash64("id", F.lit(r)).alias("p"), F.col("id").alias("id"), F.col("n").alias("n"))
+        first = F.struct((F.xxhash64("id", F.lit(r)) if r else -F.col("central")).alias("p"), F.col("id").alias("id"), F.col("n").alias("n"))
         lead = bucket.groupBy("key").agg(F.min(first).alias("lead")).select("key", F.col("lead.id").alias("u"), F.col("lead.n").alias("nu"))
         pairs = bucket.join(lead, "key").where("id <> u").where(F.least("n", "nu") >= threshold * F.greatest("n", "nu")).groupBy("u", F.col("id").alias("v")).agg(F.count(F.lit(1)).alias("times"))
         if r == 0:  # the first of each text only: the one with which it shares most buckets
@@ -259,7 +271,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     several = labelled.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key")
     rest = work.keep(labelled.join(several, "key", "left_semi"))
     rest = rest.join(all_.select("id", "sig", "bands").dropDuplicates(["id"]), "id")
-    links = work.keep(verify(work.keep(_leftover_pairs(rest, BANDS * ROWS)), texts, threshold, weighted))
+    links = work.keep(_leftover_links(rest, texts.join(rest.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), threshold, weighted, BANDS * ROWS))
     joined = work.keep(components(found.unionAll(links), work))
     return member.join(joined, F.col("rep") == F.col("node"), "left").select("id", F.coalesce("component", "rep").alias("class_id"))
 
