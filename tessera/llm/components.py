@@ -1,27 +1,58 @@
-"""Connected components of links by alternating stars (large star, small star)."""
+"""Connected components of links: in one task up to a bound, beyond it by alternating stars (large star, small star)."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace
 
+#: Links (16 bytes each) that one task unites; more are united by joins, with the same result.
+ONE_TASK = 500_000
+
+
+def united(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of links, and the smallest node that each leads to."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        for end in (a, b, root[a], root[b]):
+            np.minimum.at(new, end, low)
+        new = new[new]
+        if (new == root).all():
+            return nodes, nodes[root]
+        root = new
+
+
+def _unite(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if parts:
+        nodes, roots = united(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], ["node", "component"])
+
 
 def components(links: DataFrame, work: Workspace) -> DataFrame:
     """``node`` and ``component``, its smallest reachable node, for each node of ``links`` (u, v long).
 
-    Each step sends every node's neighbours to the least of them, with sums that combine before the
-    shuffle and joins whose large keys adaptive execution can split; steps are written tables. Links of
-    a node with itself and repeated links are no matter; there is no bound on a component's size.
+    Beyond the bound, each step sends every node's neighbours to the least of them, with sums that combine
+    before the shuffle and joins whose large keys adaptive execution can split; steps are written tables.
+    Links of a node with itself and repeated links are no matter; there is no bound on a component's size.
     """
-    edges = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    edges, path = work.write(edges)
+    edges, path = work.write(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+    if edges.count() <= ONE_TASK:
+        return edges.coalesce(1).mapInArrow(_unite, "node long, component long")
     state = None
     while True:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v"))).distinct()
         new, new_path = work.write(small)

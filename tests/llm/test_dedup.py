@@ -34,7 +34,9 @@ def union(n, links):
     return {i: find(i) for i in n}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("bound", [0, 500_000])
+def test_components(spark, monkeypatch, bound):
+    monkeypatch.setattr(components, "ONE_TASK", bound)
     rnd = random.Random(9)
     links = [(rnd.randint(0, 400), rnd.randint(0, 400)) for _ in range(250)] + [(i, i + 1) for i in range(500, 560)] + [(7, 7)]
     out = {r.node: r.component for r in components.components(spark.createDataFrame(links, "u long, v long"), Workspace(spark, "t")).collect()}
