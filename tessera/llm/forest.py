@@ -34,6 +34,8 @@ from .components import components
 
 THRESHOLD = 0.98
 TREES, LEAF, SAMPLE, SEED = 5, 400, 20_000, 7
+#: Components of all sampled vectors together, at most.
+SAMPLE_NUMBERS = 4_000_000
 #: Half of the spilled band, in standard deviations of how far apart a pair at the threshold projects.
 MARGIN = 1.0
 #: Sampled vectors that a split needs, and vectors that are compared with as many at once.
@@ -160,7 +162,7 @@ def near_links(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     largest = single.groupBy("label", F.size("vector").alias("size")).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.max_by("size", "n")).first()
     depth = max(0, math.ceil(math.log2(max(1, (largest[0] or 1) / leaf))))
     size = largest[1] or 1
-    taken = single.where(F.size("vector") == size).select("id", "vector").orderBy(F.xxhash64("id"), "id").limit(sample).collect()
+    taken = single.where(F.size("vector") == size).select("id", "vector").orderBy(F.xxhash64("id"), "id").limit(max(1, min(sample, SAMPLE_NUMBERS // size))).collect()
     forest = spark.sparkContext.broadcast(fit(_unit([r.vector for r in taken]) if taken else np.zeros((0, size)), depth, threshold, trees))
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
