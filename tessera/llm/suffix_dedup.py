@@ -45,6 +45,8 @@ WINDOW, GRAM = 50, 16
 BLOCK_BYTES, SHARD_BYTES, LEAST_SHARDS = 1 << 20, 24 << 20, 64
 #: Windows that are compared together; groups of shards that are worked on one after another, which divides the disk that is held.
 SLICE, GROUPS = 1 << 20, 2
+#: Bytes of suffixes that are copied together.
+PIECE = 1 << 20
 #: Bytes kept of suffixes for each byte of text, roughly; batches of a one-off run.
 KEPT_PER_BYTE, BATCHES = 3.7, 3
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -74,6 +76,18 @@ def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(int(ends[-1]) if len(ends) else 0, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
 
 
+def _gather(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The bytes of every range, one after another; in pieces, as their places take 24 times the room of the bytes."""
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    out = np.empty(total, data.dtype)
+    cuts = [0, *np.unique(np.searchsorted(ends, np.arange(PIECE, total, PIECE))).tolist(), len(ends)]
+    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+        if i < j:
+            out[ends[i] - lengths[i] : ends[j - 1]] = data[_ranges(starts[i:j], lengths[i:j])]
+    return out
+
+
 @dataclass
 class Run:
     """Suffixes: document, place of the first window, windows, place of the anchor in the bytes; and the bytes."""
@@ -94,7 +108,7 @@ class Run:
         return np.cumsum(n) - n
 
     def take(self, which: np.ndarray) -> Run:
-        return Run(self.doc[which], self.at[which], self.windows[which], self.anchor[which], self.data[_ranges(self.starts()[which], self.lengths[which])], self.window)
+        return Run(self.doc[which], self.at[which], self.windows[which], self.anchor[which], _gather(self.data, self.starts()[which], self.lengths[which]), self.window)
 
     def heads(self) -> tuple[np.ndarray, np.ndarray]:
         """The first 16 bytes of each suffix, as two numbers in the order of the bytes."""
@@ -163,7 +177,7 @@ def suffixes(texts: list[bytes], docs: np.ndarray, window: int = WINDOW, shards:
     text = np.searchsorted(begin, at, "right") - 1
     lengths = windows + (window - 1)
     print_ = _mix(_mix(fingerprints(loads, at, window), windows.astype(np.uint64), _C[3]), fingerprints(loads, at + lengths - window, window), _C[2])
-    return Run(docs[text], at - begin[text], windows.astype(np.uint16), (anchors - at).astype(np.uint16), data[_ranges(at, lengths)], window), print_, home
+    return Run(docs[text], at - begin[text], windows.astype(np.uint16), (anchors - at).astype(np.uint16), _gather(data, at, lengths), window), print_, home
 
 
 def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
