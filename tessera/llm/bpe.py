@@ -24,12 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import prepare, text_of
+from .common import memory_returned, prepare, text_of
 
 NONE = np.int32(2**31 - 1)
 #: Bytes of text whose new pre-tokens are replayed together.
 BLOCK_BYTES = 10 << 20
-#: Units that a worker remembers between blocks at most, and the length from which a unit is long.
+#: Units that a task remembers between blocks at most, and the length from which a unit is long.
 CACHE_UNITS, LONG_UNIT = 200_000, 256
 
 
@@ -152,7 +152,7 @@ class _Units(dict):
 
 
 class BlockEncoder:
-    """Encodes texts in blocks; remembers the tokens of units between blocks, within bounds.
+    """Encodes texts in blocks; remembers the tokens of units between blocks of a task, within bounds.
 
     A unit is what stands between two single spaces that have no other white space beside them,
     with the space before it. No match of the pattern crosses such a place, so a unit's matches do
@@ -164,9 +164,10 @@ class BlockEncoder:
         self.find = regex.compile(pattern).findall
         self.run = re.compile(r"\s\s|^ | $").search
         self.cut = re.compile(r"(?<=\S) (?=\S)").split
-        self.forget()
+        self.clear()
 
-    def forget(self) -> None:
+    def clear(self) -> None:
+        """Forget all units."""
         self.seen: list[str] = []
         self.later, self.first = _Units(self.seen, " "), _Units(self.seen, "")
         self.tokens = np.zeros(0, np.int32)
@@ -195,7 +196,7 @@ class BlockEncoder:
         out = [tokens[spread(starts[u], lengths[u])] for u in of]
         long = [u for u in fresh if len(u) > LONG_UNIT]
         if len(self.seen) > CACHE_UNITS or sum(map(len, long)) > 1 << 20:
-            self.forget()
+            self.clear()
         else:
             self.tokens, self.lengths, self.known = tokens, lengths, len(self.seen)
         return out
@@ -233,10 +234,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(ranks_path, pattern)
-        for ids, texts in _blocks(batches, block_bytes):
-            encoded = own.encode(texts)
-            for i in range(0, len(ids), 500):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + 500]), pa.array([e.astype("<u4").tobytes() for e in encoded[i : i + 500]], pa.binary())], [id_col, "ids"])
+        with memory_returned(own):
+            for ids, texts in _blocks(batches, block_bytes):
+                encoded = own.encode(texts)
+                for i in range(0, len(ids), 500):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + 500]), pa.array([e.astype("<u4").tobytes() for e in encoded[i : i + 500]], pa.binary())], [id_col, "ids"])
 
     return rows.mapInArrow(run, T.StructType([T.StructField(id_col, kind.dataType), T.StructField("ids", T.BinaryType())]))
 

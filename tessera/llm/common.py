@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -73,6 +74,20 @@ class Workspace:
         target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+@contextmanager
+def memory_returned(*caches) -> Iterator[None]:
+    """At the end of a task, empties caches and returns freed memory to the system: a Python worker lives on and serves other stages."""
+    try:
+        yield
+    finally:
+        for cache in caches:
+            cache.clear()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim is not None:
+            trim(0)
+
+
 def text_of(column: str = "text") -> F.Column:
     """The text, null as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

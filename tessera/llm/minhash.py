@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Workspace, prepare, text_of
+from .common import Workspace, memory_returned, prepare, text_of
 from .components import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -132,29 +132,30 @@ def sketch(docs: DataFrame, weighted: bool = False, words: int = WORDS, bands: i
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = bands * rows
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for i in range(0, len(texts), 50):
-                own = [shingles(t, words) for t in texts[i : i + 50]]
-                weights = [c if weighted else np.ones(len(c), np.int64) for _, c in own]
-                signature = dart_minhash([h for h, _ in own], weights, k)
-                band = np.zeros((len(own), bands), np.uint64) + np.arange(bands, dtype=np.uint64) * _C
-                for r in range(rows):
-                    band = _mix(band * _D + signature[:, r::rows])
-                unit = [h * np.uint64(2) + np.uint64(1) if not weighted else h + c.astype(np.uint64) * _C for (h, c) in own]
-                fa = [int(_mix(u).sum(dtype=np.uint64).view(np.int64)) for u in unit]
-                fb = [int(_mix(u ^ _B).sum(dtype=np.uint64).view(np.int64)) for u in unit]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(i, len(own)),
-                        pa.array(fa, pa.int64()),
-                        pa.array(fb, pa.int64()),
-                        pa.array([int(w.sum()) for w in weights], pa.int64()),
-                        pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * bands), pa.array(band.view(np.int64).ravel())),
-                        pa.array([s.astype("<u2").tobytes() for s in signature], pa.binary()),
-                    ],
-                    ["id", "fa", "fb", "n", "bands", "sig"],
-                )
+        with memory_returned(_hash_of):
+            for batch in batches:
+                texts = batch.column(1).to_pylist()
+                for i in range(0, len(texts), 50):
+                    own = [shingles(t, words) for t in texts[i : i + 50]]
+                    weights = [c if weighted else np.ones(len(c), np.int64) for _, c in own]
+                    signature = dart_minhash([h for h, _ in own], weights, k)
+                    band = np.zeros((len(own), bands), np.uint64) + np.arange(bands, dtype=np.uint64) * _C
+                    for r in range(rows):
+                        band = _mix(band * _D + signature[:, r::rows])
+                    unit = [h * np.uint64(2) + np.uint64(1) if not weighted else h + c.astype(np.uint64) * _C for (h, c) in own]
+                    fa = [int(_mix(u).sum(dtype=np.uint64).view(np.int64)) for u in unit]
+                    fb = [int(_mix(u ^ _B).sum(dtype=np.uint64).view(np.int64)) for u in unit]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            batch.column(0).slice(i, len(own)),
+                            pa.array(fa, pa.int64()),
+                            pa.array(fb, pa.int64()),
+                            pa.array([int(w.sum()) for w in weights], pa.int64()),
+                            pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * bands), pa.array(band.view(np.int64).ravel())),
+                            pa.array([s.astype("<u2").tobytes() for s in signature], pa.binary()),
+                        ],
+                        ["id", "fa", "fb", "n", "bands", "sig"],
+                    )
 
     return docs.mapInArrow(run, "id long, fa long, fb long, n long, bands array<long>, sig binary")
 
@@ -177,15 +178,16 @@ def verify(pairs: DataFrame, docs: DataFrame, threshold: float, weighted: bool =
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, tuple] = {}
-        for b in batches:
-            u, v = b.column(0).to_pylist(), b.column(1).to_pylist()
-            hit = []
-            for i, (p, q, s, t) in enumerate(zip(u, v, b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
-                if p not in known:  # rows come by u, whose shingles are used again
-                    known = {p: shingles(s, words)}
-                if similarity(known[p], shingles(t, words), weighted) >= threshold:
-                    hit.append(i)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(hit, pa.int64())), b.column(1).take(pa.array(hit, pa.int64()))], ["u", "v"])
+        with memory_returned(_hash_of):
+            for b in batches:
+                u, v = b.column(0).to_pylist(), b.column(1).to_pylist()
+                hit = []
+                for i, (p, q, s, t) in enumerate(zip(u, v, b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
+                    if p not in known:  # rows come by u, whose shingles are used again
+                        known = {p: shingles(s, words)}
+                    if similarity(known[p], shingles(t, words), weighted) >= threshold:
+                        hit.append(i)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(hit, pa.int64())), b.column(1).take(pa.array(hit, pa.int64()))], ["u", "v"])
 
     right = docs.select(F.col("id").alias("v"), F.col("text").alias("tv"))
     left = docs.select(F.col("id").alias("u"), F.col("text").alias("tu"))
@@ -230,6 +232,7 @@ def _leftover_links(rest: DataFrame, texts: DataFrame, threshold: float, weighte
                     vs.append(int(ids[z]))
                     # From here on they are one class in this group, and need no more comparisons.
                     classes = np.where(classes == classes[z], classes[x], classes)
+        _hash_of.clear()
         return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
     return rows.groupBy("key", "i", "j").applyInArrow(run, "u long, v long")

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Workspace, prepare, text_of
+from .common import Workspace, memory_returned, prepare, text_of
 
 WINDOW, GRAM = 50, 16
 #: Bytes of text that are looked at together; bytes of suffixes in a shard, from which their number follows.
@@ -275,37 +275,38 @@ def batch_runs(docs: DataFrame, shards: int, window: int = WINDOW, group: int =
     """Runs of each block and shard of the group (kind ``new``), and the spans that repeat within a block (kind ``spans``)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in _blocks(batches, block_bytes):
-            found, prints, home = suffixes(texts, ids, window, shards, group, groups)
-            if not len(found.doc):
-                continue
-            order = np.lexsort((found.doc, prints))
-            sorted_, doc = prints[order], found.doc[order]
-            first = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
-            least = np.repeat(doc[first], np.diff(np.r_[first, len(order)]))
-            again = np.zeros(len(order), bool)
-            again[order] = doc > least
-            kinds, homes, blobs = [], [], []
-            if again.any():
-                at = found.at[again]
-                spans = merged(found.doc[again], at, at + found.lengths[again])
-                kinds.append("spans")
-                homes.append(zlib.crc32(np.int64(ids[0]).tobytes()) % (shards // groups) * groups + group)
-                blobs.append(_pack_spans(spans))
-            rest, home = found.take(np.flatnonzero(~again)), home[~again]
-            a, b = rest.heads()
-            order = np.lexsort((rest.doc, b, a, home))
-            cuts = np.searchsorted(home[order], np.arange(shards + 1))
-            rest = rest.take(order)
-            edge = np.r_[rest.starts(), len(rest.data)]
-            for s in range(shards):
-                i, j = int(cuts[s]), int(cuts[s + 1])
-                if i < j:
-                    part = Run(rest.doc[i:j], rest.at[i:j], rest.windows[i:j], rest.anchor[i:j], rest.data[edge[i] : edge[j]], window)
-                    kinds.append("new")
-                    homes.append(s)
-                    blobs.append(part.pack())
-            yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(homes, pa.int32()), pa.array(blobs, pa.binary())], ["kind", "shard", "data"])
+        with memory_returned():
+            for ids, texts in _blocks(batches, block_bytes):
+                found, prints, home = suffixes(texts, ids, window, shards, group, groups)
+                if not len(found.doc):
+                    continue
+                order = np.lexsort((found.doc, prints))
+                sorted_, doc = prints[order], found.doc[order]
+                first = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
+                least = np.repeat(doc[first], np.diff(np.r_[first, len(order)]))
+                again = np.zeros(len(order), bool)
+                again[order] = doc > least
+                kinds, homes, blobs = [], [], []
+                if again.any():
+                    at = found.at[again]
+                    spans = merged(found.doc[again], at, at + found.lengths[again])
+                    kinds.append("spans")
+                    homes.append(zlib.crc32(np.int64(ids[0]).tobytes()) % (shards // groups) * groups + group)
+                    blobs.append(_pack_spans(spans))
+                rest, home = found.take(np.flatnonzero(~again)), home[~again]
+                a, b = rest.heads()
+                order = np.lexsort((rest.doc, b, a, home))
+                cuts = np.searchsorted(home[order], np.arange(shards + 1))
+                rest = rest.take(order)
+                edge = np.r_[rest.starts(), len(rest.data)]
+                for s in range(shards):
+                    i, j = int(cuts[s]), int(cuts[s + 1])
+                    if i < j:
+                        part = Run(rest.doc[i:j], rest.at[i:j], rest.windows[i:j], rest.anchor[i:j], rest.data[edge[i] : edge[j]], window)
+                        kinds.append("new")
+                        homes.append(s)
+                        blobs.append(part.pack())
+                yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(homes, pa.int32()), pa.array(blobs, pa.binary())], ["kind", "shard", "data"])
 
     return docs.mapInArrow(run, _SCHEMA)
 
@@ -340,26 +341,27 @@ class SuffixIndex:
         window = self.window
 
         def work(group: pa.Table) -> pa.Table:
-            shard = group.column("shard")[0].as_py()
-            of: dict[str, list[Run]] = {"new": [], "stay": [], "merge": []}
-            kinds, blobs = [], []
-            for kind, blob in zip(group.column("kind").to_pylist(), group.column("data").to_pylist(), strict=True):
-                if kind == "spans":
-                    kinds.append(kind)
-                    blobs.append(blob)
-                else:
-                    of[kind].append(Run.unpack(blob))
-            new = Run.join(of["new"], window)
-            spans, rest = scan(new, Run.join(of["stay"] + of["merge"], window))
-            if len(spans[0]):
-                kinds.append("spans")
-                blobs.append(_pack_spans(spans))
-            if not last and (len(rest.doc) or of["merge"]):
-                level = Run.join([*of["merge"], rest], window).ordered()
-                level.at = np.zeros_like(level.at)
-                kinds.append("level")
-                blobs.append(level.pack())
-            return pa.table({"kind": pa.array(kinds, pa.string()), "shard": pa.array([shard] * len(kinds), pa.int32()), "data": pa.array(blobs, pa.binary())})
+            with memory_returned():
+                shard = group.column("shard")[0].as_py()
+                of: dict[str, list[Run]] = {"new": [], "stay": [], "merge": []}
+                kinds, blobs = [], []
+                for kind, blob in zip(group.column("kind").to_pylist(), group.column("data").to_pylist(), strict=True):
+                    if kind == "spans":
+                        kinds.append(kind)
+                        blobs.append(blob)
+                    else:
+                        of[kind].append(Run.unpack(blob))
+                new = Run.join(of["new"], window)
+                spans, rest = scan(new, Run.join(of["stay"] + of["merge"], window))
+                if len(spans[0]):
+                    kinds.append("spans")
+                    blobs.append(_pack_spans(spans))
+                if not last and (len(rest.doc) or of["merge"]):
+                    level = Run.join([*of["merge"], rest], window).ordered()
+                    level.at = np.zeros_like(level.at)
+                    kinds.append("level")
+                    blobs.append(level.pack())
+                return pa.table({"kind": pa.array(kinds, pa.string()), "shard": pa.array([shard] * len(kinds), pa.int32()), "data": pa.array(blobs, pa.binary())})
 
         done, path = self.work.write(runs.groupBy("shard").applyInArrow(work, _SCHEMA))
         for _, _, old in merging:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Workspace, crc_mod, prepare, text_of
+from .common import Workspace, crc_mod, memory_returned, prepare, text_of
 
 BITS, SIZES = 18, (4,)
 #: Labelled texts from which ratios are learned, and of each label those on which the regression is fitted (about, at most).
@@ -161,9 +161,10 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", bits: int = BIT
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, fitted = Features(bits, sizes), shared.value
-        for b in batches:
-            scores = pa.array([fitted.score(own.of(t)) for t in b.column(len(names)).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], scores], [*names, "score"])
+        with memory_returned():
+            for b in batches:
+                scores = pa.array([fitted.score(own.of(t)) for t in b.column(len(names)).to_pylist()], pa.float64())
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], scores], [*names, "score"])
 
     out = rows.mapInArrow(run, T.StructType([*rows.schema[: len(names)], T.StructField("score", T.DoubleType())]))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
