@@ -316,6 +316,17 @@ def loop_until_empty(spark, d):
     return start.loop_until_empty(up).frame()
 
 
+@query("""
+WITH RECURSIVE g AS (SELECT s_suppkey AS id, CAST(0 AS INTEGER) AS depth FROM supplier
+UNION ALL SELECT id // 2, depth + 1 FROM g WHERE id // 2 > 0) SELECT id, depth FROM g
+""")
+def loop_until_empty_all(spark, d):
+    """The generations of every supplier, by whole division."""
+    start = Rel(load(spark, d, "supplier")).map(lambda r: {"id": r.s_suppkey, "depth": F.lit(0)})
+    up = lambda g: g.map(lambda r: {"id": ops.div(r.id, F.lit(2), K.Int64), "depth": r.depth + 1}).filter(lambda r: r.id > 0)
+    return start.loop_until_empty(up).frame()
+
+
 _WRAP = "((x % {m} + {m} + {h}) % {m} - {h})"
 
 
