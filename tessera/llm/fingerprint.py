@@ -107,7 +107,22 @@ def in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     least, count = rows.agg(F.min("id"), F.count("id")).first()
     ranges = min(MAX_RANGES, max(1, math.ceil((count or 0) / RANGE_ROWS)))
     inner = rows.agg(F.percentile_approx("id", [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0] if ranges > 1 else []
-    starts = np.array(sorted({x for x in [least, *(inner or [])] if x is not None}), np.int64)
+    cuts = np.array(sorted({x for x in [least, *(inner or [])] if x is not None}), np.int64)
+
+    def firsts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.full(len(cuts), np.iinfo(np.int64).max)
+        seen = np.zeros(len(cuts), bool)
+        for b in batches:
+            ids = b.column(0).drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
+            home = np.searchsorted(cuts, ids, "right") - 1
+            np.minimum.at(found, home, ids)
+            seen[home] = True
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(found[at], pa.int64())], ["range", "id"])
+
+    # quantiles are rounded to doubles, so a range starts at the smallest id that is not below its cut
+    least_of = rows.select("id").mapInArrow(firsts, "range int, id long").groupBy("range").agg(F.min("id").alias("id")).collect() if len(cuts) > 1 else []
+    starts = np.array(sorted(r["id"] for r in least_of), np.int64) if least_of else cuts
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
