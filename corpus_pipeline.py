@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, minhash, mixing, suffix_dedup, toxicity
-from tessera.llm.common import Workspace, table
+from tessera.llm.common import Workspace, table, text_of
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -40,9 +40,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text (little-endian 32-bit integers) and their number."""
+    """Token ids of each text (little-endian 32-bit integers) and their number; fails where decoding them does not give the text."""
     tokenizers = importlib.import_module("public_tokenizers")
-    ids = bpe.encode(docs.select(*COLUMNS), tokenizers.path("byte_bpe_multi_50k.tiktoken"), tokenizers.PATTERN)
+    path = tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    rows = docs.select(F.struct("doc_id", F.sha2(text_of().cast("binary"), 256).alias("sha256")).alias("row"), "text")
+    both = bpe.decode(bpe.encode(rows, path, tokenizers.PATTERN, id_col="row"), path, id_col="row")
+    same = F.sha2("bytes", 256) == F.col("row.sha256")
+    wrong = F.raise_error(F.concat(F.lit("the ids do not give back the text of document "), F.coalesce(F.col("row.doc_id").cast("string"), F.lit("null"))))
+    ids = both.select("row.doc_id", F.when(same, F.col("ids")).otherwise(wrong.cast("binary")).alias("ids"))
     return ids.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
 
 

@@ -23,6 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import memory_returned, prepare, text_of
 
@@ -231,6 +232,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col), text_of(text_col).alias("text"))
     kind = rows.schema[0]
+    arrow = to_arrow_type(kind.dataType)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(ranks_path, pattern)
@@ -238,7 +240,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
             for ids, texts in _blocks(batches, block_bytes):
                 encoded = own.encode(texts)
                 for i in range(0, len(ids), 500):
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + 500]), pa.array([e.astype("<u4").tobytes() for e in encoded[i : i + 500]], pa.binary())], [id_col, "ids"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + 500], arrow), pa.array([e.astype("<u4").tobytes() for e in encoded[i : i + 500]], pa.binary())], [id_col, "ids"])
 
     return rows.mapInArrow(run, T.StructType([T.StructField(id_col, kind.dataType), T.StructField("ids", T.BinaryType())]))
 
