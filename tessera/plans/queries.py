@@ -488,8 +488,12 @@ def nested_windows(spark, d):
 @query("SELECT n_nationkey, n_name FROM nation WHERE n_regionkey < 3")
 def parquet_roundtrip(spark, d):
     files = tables.Files(spark, f"{shared_dir(spark)}/{uuid.uuid4().hex}")
-    files.write_parquet(Rel.of(load(spark, d, "nation"), "n_nationkey"), "out/nation")
-    return files.read_parquet("out/nation").filter(lambda r: r.n_regionkey < 3).map(lambda r: {"n_nationkey": r.n_nationkey, "n_name": r.n_name}).frame()
+    nation = load(spark, d, "nation")
+    files.write_parquet(Rel.of(nation, "n_nationkey"), "out/nation")
+    back = files.read_parquet("out/nation")
+    if back.df.schema != nation.schema or not nation.exceptAll(back.df).isEmpty() or not back.df.exceptAll(nation).isEmpty():
+        raise RuntimeError("the rows read back are not the rows written")
+    return back.filter(lambda r: r.n_regionkey < 3).map(lambda r: {"n_nationkey": r.n_nationkey, "n_name": r.n_name}).frame()
 
 
 @query("SELECT * FROM (VALUES ('n_nationkey', 'Int32'), ('n_name', 'Text'), ('n_regionkey', 'Int32'), ('gap', 'Int32?')) t(name, kind)")
