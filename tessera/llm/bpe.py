@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import memory_returned, prepare, text_of
+from .common import memory_returned, slices, text_of
 
 NONE = np.int32(2**31 - 1)
 #: Bytes of text whose new pre-tokens are replayed together.
@@ -215,7 +215,7 @@ def encoder(path: str, pattern: str) -> BlockEncoder:
 
 def _blocks(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[tuple[list, list[str]]]:
     ids, texts, held = [], [], 0
-    for b in batches:
+    for b in slices(batches):
         for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             ids.append(i)
             texts.append(t)
@@ -229,7 +229,6 @@ def _blocks(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[tuple[list
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per row of ``docs``: its id and ``ids``, the token ids as little-endian 32-bit integers."""
-    prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col), text_of(text_col).alias("text"))
     kind = rows.schema[0]
     arrow = to_arrow_type(kind.dataType)
@@ -257,7 +256,7 @@ def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id") -> DataF
             lengths[rank] = len(token)
         starts = np.cumsum(lengths) - lengths
         flat = np.frombuffer(b"".join(sorted(ranks, key=ranks.__getitem__)), np.uint8)
-        for b in batches:
+        for b in slices(batches):
             out = []
             for x in b.column(1).to_pylist():
                 ids = np.frombuffer(x, "<u4").astype(np.int64)

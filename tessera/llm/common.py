@@ -7,24 +7,27 @@ import ctypes
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager, suppress
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch; texts may be long, so this is far below Spark's default.
-BATCH_ROWS = 500
+#: Rows that are looked at together, and bytes of an Arrow batch in steps whose tasks hold much else.
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _own_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests), a temporary one is set."""
+    """The folder of spark.checkpoint.dir. Where it is unset, local masters get a temporary one; elsewhere that is an error."""
     global _own_dir
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if _own_dir is None:
             _own_dir = tempfile.mkdtemp(prefix="tessera-")
             atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
@@ -33,24 +36,28 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def prepare(spark: SparkSession) -> None:
-    """Bound Arrow batches by rows, for operators whose rows hold whole texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-
-
 @contextmanager
-def shuffle_files_removed(spark: SparkSession) -> Iterator[None]:
-    """Within, the shuffle files of each finished action go at once instead of at the next driver GC."""
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+def _set(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def prepared(spark: SparkSession):
+    """Within, Arrow batches are small in bytes; for steps that are run there and then."""
+    return _set(spark, _BYTES, str(BATCH_BYTES))
+
+
+def shuffle_files_removed(spark: SparkSession):
+    """Within, the shuffle files of each finished action go at once instead of at the next driver GC."""
+    return _set(spark, _CLEANUP, "true")
 
 
 class Workspace:
-    """Written tables of one operator call, under the shared folder."""
+    """Written tables of one operator call, under the shared folder; what is left of them goes when the driver's Python ends."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
@@ -59,6 +66,8 @@ class Workspace:
 
     def write(self, df: DataFrame) -> tuple[DataFrame, str]:
         """Write ``df`` as Parquet, cutting its lineage; the table read back, and its path."""
+        if not self.count:
+            atexit.register(self._end, self.spark._jvm, self.spark._jsc.hadoopConfiguration())
         self.count += 1
         path = f"{self.root}/{self.count}"
         with shuffle_files_removed(self.spark):
@@ -73,34 +82,51 @@ class Workspace:
         target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
 
+    def clear(self) -> None:
+        """Remove all tables, once no later step reads them."""
+        self.drop(self.root)
+
+    def _end(self, jvm, conf) -> None:
+        with suppress(Exception):  # the JVM may have gone first
+            target = jvm.org.apache.hadoop.fs.Path(self.root)
+            target.getFileSystem(conf).delete(target, True)
+
 
 @contextmanager
 def memory_returned(*caches) -> Iterator[None]:
     """At the end of a task, empties caches and returns freed memory to the system: a Python worker lives on and serves other stages."""
+    pa.set_memory_pool(pa.system_memory_pool())
     try:
         yield
     finally:
         for cache in caches:
             cache.clear()
-        pa.default_memory_pool().release_unused()
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
         if trim is not None:
             trim(0)
 
 
-def text_of(column: str = "text") -> F.Column:
+def slices(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches``, a few at a time."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
+def text_of(column: str = "text") -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def row_of(names: list[str]) -> Column:
+    """Columns as one, ``row``, so that their names clash with nothing that stands beside it."""
+    return F.struct(*(F.col(f"`{c}`") for c in names)).alias("row")
 
 
-def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def crc_mod(column: str, n: int) -> F.Column:
+def crc_mod(column: str, n: int) -> Column:
     """crc32 of the column as text, modulo n; null ids count as the text of nothing."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(n))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, text_of
+from .common import slices, text_of
 from .minhash import _hash_of, _mix
 
 EQUAL, LIKE, RUN = 64, 256, 3
@@ -102,7 +102,6 @@ def edited(text: str, following: str) -> str:
 
 def in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(range, kind, id, text) dealt and sorted: kind 0 a document, 1 what ends a range, 2 one without an id."""
-    prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     least, count = rows.agg(F.min("id"), F.count("id")).first()
     ranges = min(MAX_RANGES, max(1, math.ceil((count or 0) / RANGE_ROWS)))
@@ -112,7 +111,7 @@ def in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     def firsts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.full(len(cuts), np.iinfo(np.int64).max)
         seen = np.zeros(len(cuts), bool)
-        for b in batches:
+        for b in slices(batches):
             ids = b.column(0).drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
             home = np.searchsorted(cuts, ids, "right") - 1
             np.minimum.at(found, home, ids)
@@ -125,7 +124,7 @@ def in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     starts = np.array(sorted(r["id"] for r in least_of), np.int64) if least_of else cuts
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             known = np.flatnonzero(~np.asarray(b.column(0).is_null()))
             ids = b.column(0).take(pa.array(known)).to_numpy(zero_copy_only=False).astype(np.int64)
             home = np.searchsorted(starts, ids, "right") - 1
@@ -154,7 +153,7 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             for column, x in zip(out, (doc, len(text), hashlib.sha256(new.encode()).hexdigest(), str(own), str(changed), own.likeness(changed), own.likeness(after)), strict=True):
                 column.append(x)
 
-        for b in batches:
+        for b in slices(batches):
             for place, kind, doc, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if kind == 1 and before is None:
                     continue

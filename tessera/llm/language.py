@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, prepare, text_of
+from .common import crc_mod, slices, text_of
 
 DIMENSIONS, NGRAM = 1024, 3
 #: N-grams whose vectors a worker remembers (4 bytes x dimensions each).
@@ -91,11 +91,10 @@ def space(dimensions: int, n: int) -> Space:
 
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dimensions: int = DIMENSIONS, n: int = NGRAM) -> dict[str, np.ndarray]:
     """The prototype of each language, from all rows of ``docs`` with text and language."""
-    prepare(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, sums = space(dimensions, n), {}
-        for b in batches:
+        for b in slices(batches):
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if (v := own.text(text)) is not None:
                     sums[lang] = sums.get(lang, 0) + v.astype(np.float64)
@@ -115,13 +114,12 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dimen
 
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", dimensions: int = DIMENSIONS, n: int = NGRAM) -> DataFrame:
     """One row per row of ``docs``: id, lang_pred, score (how far the best cosine is towards 1)."""
-    prepare(docs.sparkSession)
     names = list(prototypes)
     shared = docs.sparkSession.sparkContext.broadcast(np.array([prototypes[k] for k in names], np.float32).reshape(len(names), dimensions))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = space(dimensions, n)
-        for b in batches:
+        for b in slices(batches):
             langs, scores = [], []
             for text in b.column(1).to_pylist():
                 v = own.text(text) if text is not None and names else None

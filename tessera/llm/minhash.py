@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Workspace, memory_returned, prepare, text_of
+from .common import memory_returned, slices, text_of, Workspace
 from .components import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -133,7 +133,7 @@ def sketch(docs: DataFrame, weighted: bool = False, words: int = WORDS, bands: i
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = bands * rows
         with memory_returned(_hash_of):
-            for batch in batches:
+            for batch in slices(batches):
                 texts = batch.column(1).to_pylist()
                 for i in range(0, len(texts), 50):
                     own = [shingles(t, words) for t in texts[i : i + 50]]
@@ -179,7 +179,7 @@ def verify(pairs: DataFrame, docs: DataFrame, threshold: float, weighted: bool =
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, tuple] = {}
         with memory_returned(_hash_of):
-            for b in batches:
+            for b in slices(batches):
                 u, v = b.column(0).to_pylist(), b.column(1).to_pylist()
                 hit = []
                 for i, (p, q, s, t) in enumerate(zip(u, v, b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
@@ -241,7 +241,6 @@ def _leftover_links(rest: DataFrame, texts: DataFrame, threshold: float, weighte
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, weighted: bool = False) -> DataFrame:
     """One row per id (not null) of ``docs``: its id and ``class_id``, the smallest id that links lead to."""
     spark = docs.sparkSession
-    prepare(spark)
     work = Workspace(spark, "minhash")
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     all_ = work.keep(sketch(texts, weighted))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import prepare, text_of
+from .common import slices, text_of
 
 #: Entries of the broadcast table, and bytes of the longest pre-token in it or in a cache.
 TABLE_SIZE, WORD_CHARS = 1 << 16, 48
@@ -80,11 +80,10 @@ class LengthCache(dict):
 
 def frequent_pretokens(docs: DataFrame, text_col: str = "text", table_size: int = TABLE_SIZE) -> DataFrame:
     """The most frequent pre-tokens of all documents (``word``, ``n``), from summaries of each task."""
-    prepare(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
-        for b in batches:
+        for b in slices(batches):
             for t in b.column(0).to_pylist():
                 seen.update(pretokens(t))
             if len(seen) > COUNTED:
@@ -99,7 +98,6 @@ def frequent_pretokens(docs: DataFrame, text_col: str = "text", table_size: int
 def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text", table_size: int = TABLE_SIZE) -> DataFrame:
     """One row per row of ``docs``: its id, n_bytes, n_tokens and whether these exceed ``limit``."""
     spark = docs.sparkSession
-    prepare(spark)
     count = piece_counter(model_path)
     frequent = {r.word: count(r.word) for r in frequent_pretokens(docs, text_col, table_size).toLocalIterator()}
     shared = spark.sparkContext.broadcast(frequent)
@@ -108,7 +106,7 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, id_col: st
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         length = LengthCache(shared.value, piece_counter(model_path)).__getitem__
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(1).to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array([sum(map(length, pretokens(t))) for t in texts], pa.int64())],

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Workspace, crc_mod, memory_returned, prepare, text_of
+from .common import crc_mod, memory_returned, slices, text_of, Workspace
 
 BITS, SIZES = 18, (4,)
 #: Labelled texts from which ratios are learned, and of each label those on which the regression is fitted (about, at most).
@@ -86,13 +86,12 @@ def taught(labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic",
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, sizes: tuple[int, ...] = SIZES) -> Model:
     """The model of the texts that ``labels`` (see ``taught``) marks; the labels, which are bounded, are broadcast."""
-    prepare(docs.sparkSession)
     rows = docs.join(F.broadcast(labels), F.col(id_col) == F.col("_id")).select(text_of(text_col).alias("text"), "label", "fit")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, sums = Features(bits, sizes), np.zeros((2, (1 << bits) + 1), np.int64)
         names = ["label", "feature", "n", "features"]
-        for b in batches:
+        for b in slices(batches):
             labels_, fitted = [], []
             for text, label, fit in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 found = own.of(text)
@@ -154,7 +153,6 @@ def _fit(taken: list[tuple[int, bytes]], ratios: np.ndarray, texts: np.ndarray)
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", bits: int = BITS, sizes: tuple[int, ...] = SIZES) -> DataFrame:
     """All columns of ``docs`` with score (0 to 1) and predicted (score >= 0.5); columns of these names are replaced."""
-    prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [c for c in docs.columns if c not in ("score", "predicted")]
     rows = docs.select(*names, text_of(text_col).alias("_text"))
@@ -162,7 +160,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", bits: int = BIT
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, fitted = Features(bits, sizes), shared.value
         with memory_returned():
-            for b in batches:
+            for b in slices(batches):
                 scores = pa.array([fitted.score(own.of(t)) for t in b.column(len(names)).to_pylist()], pa.float64())
                 yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], scores], [*names, "score"])
 

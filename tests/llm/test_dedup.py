@@ -115,28 +115,60 @@ def brute_cut(texts):
 
 
 def repeat_corpus():
+    """Shared passages, repetitive texts, cuts within characters, and texts over two letters, whose heads are all common."""
     rnd = random.Random(13)
     shared = [" ".join(words(rnd, n)) for n in (6, 9, 15, 60)]
     texts = {i: " ".join(words(rnd, rnd.randint(0, 30)) + [rnd.choice(shared)] * rnd.randint(0, 2) + words(rnd, rnd.randint(0, 30))) for i in range(0, 120, 2)}
     texts |= {1: "a" * 300, 3: "a" * 49, 5: "a" * 50, 7: None, 9: "", 11: "é" * 40, 13: "xé" + "é" * 60, 15: texts[8], 17: "\0" * 80 + "q", 19: "\0" * 60, 121: shared[3] * 40}
+    for i in range(300, 360):
+        texts[i] = "".join(rnd.choice("ab") for _ in range(rnd.randint(0, 200))) * rnd.choice([1, 2]) + rnd.choice(["", "a" * rnd.randint(0, 300), "ab" * rnd.randint(0, 150), " " * 90])
     return texts
 
 
-@pytest.mark.parametrize("batches,groups", [(1, 1), (3, 2), (6, 1)])
-def test_suffix_dedup(spark, monkeypatch, batches, groups):
+@pytest.mark.parametrize("batches,groups,block,hot", [(1, 1, 1 << 20, False), (3, 2, 500, True), (6, 1, 3000, False)])
+def test_suffix_dedup(spark, monkeypatch, batches, groups, block, hot):
     monkeypatch.setattr(suffix_dedup, "GROUPS", groups)
     monkeypatch.setattr(suffix_dedup, "BATCHES", batches)
-    monkeypatch.setattr(suffix_dedup, "SLICE", 50)
     monkeypatch.setattr(suffix_dedup, "LEAST_SHARDS", 3)
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", block)
+    if hot:  # heads are hot from two suffixes on
+        heads = suffix_dedup.hot_heads
+        monkeypatch.setattr(suffix_dedup, "hot_heads", lambda d, w: heads(d, w, 100))
     texts = repeat_corpus()
-    rows = spark.createDataFrame([(i, t, "clash", "s") for i, t in texts.items()], "doc_id long, text string, n_spans string, _spans string")
-    out = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove(rows, batches=batches).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")).collect()}
+    rows = spark.createDataFrame([(i, t, "clash", "s", "r", "i", "t") for i, t in texts.items()], "doc_id long, text string, n_spans string, spans string, row string, id string, _text string")
+    whole = suffix_dedup.remove(rows, batches=batches)
+    assert whole.columns == ["doc_id", "text", "spans", "row", "id", "_text", "kept", "n_bytes", "n_removed", "n_spans"]
+    out = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in whole.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")).collect()}
     assert out == brute_cut(texts)
     odd = suffix_dedup.digests(spark.createDataFrame([(None, "z" * 60), (None, "z" * 60), (4, "z" * 60), (4, "z" * 60)], "doc_id long, text string")).collect()
     assert [r.n_removed for r in odd] == [0] * 4
     assert suffix_dedup.digests(rows.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("window", [20, 50, 120])
+def test_common_prefixes_are_those_of_the_bytes(window):
+    """The array is in the order of all bytes from the anchor on, and neighbours' common prefixes are right."""
+    texts = [(t or "").encode() for t in repeat_corpus().values()]
+    run, *_ = suffix_dedup.suffixes(texts, np.arange(len(texts)), window)
+    strings = suffix_dedup.Strings(run)
+    begin = np.cumsum(run.lengths) - run.lengths
+    own = [bytes(run.data[b + a : b + n]).ljust(window, b"\0") for b, a, n in zip(begin, run.anchor, run.lengths, strict=True)]
+    order, common = suffix_dedup.suffix_array(len(own), strings.after, -(-window // 8))
+    ordered = [own[i] for i in order]
+    assert ordered == sorted(own)
+    for k in range(1, len(ordered)):
+        want = next((i for i, (x, y) in enumerate(zip(ordered[k - 1], ordered[k], strict=True)) if x != y), window)
+        assert min(int(common[k]), window) == want
+    # Bits of hits are those of a comparison of all windows.
+    first: dict[bytes, int] = {}
+    windows = [[bytes(run.data[b + i : b + i + window]) for i in range(w)] for b, w in zip(begin, run.windows, strict=True)]
+    for doc, own in zip(run.doc.tolist(), windows, strict=True):
+        for w in own:
+            first[w] = min(doc, first.get(w, doc))
+    _, hits = suffix_dedup.matches(run, len(run.doc))
+    assert [int(h) for h in hits] == [sum((first[w] < doc) << i for i, w in enumerate(own)) for doc, own in zip(run.doc.tolist(), windows, strict=True)]
+
+
 def test_levels_merge_geometrically(spark):
     index = suffix_dedup.SuffixIndex(spark, 4)
     sizes = []
