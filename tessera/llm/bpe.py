@@ -1,10 +1,15 @@
 """Byte-level BPE encoding and decoding by corpus-level merge replay.
 
-The distinct pre-tokens of a block of texts are laid out in one array of byte tokens. An inverted
+The distinct pre-tokens of many texts are laid out in one array of byte tokens. An inverted
 index leads from the rank of each adjacent token pair to the positions where the pair stands; ranks
 are replayed in ascending order, each over all its positions at once, and only the neighbours of a
-merged pair are looked at again. Every text is then the gathered tokens of its pre-tokens. Blocks are
-bounded in bytes, so memory is too, and there is no shuffle.
+merged pair are looked at again. Every text is then the gathered tokens of its pre-tokens.
+
+For the corpus, the frequent pre-tokens (of a bounded number of texts, ``SAMPLE_ROWS`` of at most
+``SAMPLE_BYTES`` bytes, see common) are replayed once, on the driver; the table of their tokens (at
+most ``TABLE_UNITS``, a few MB) is broadcast. Tasks replay what is not in it, the rare pre-tokens,
+block by block. Blocks are bounded in bytes, so memory is too, and there is no shuffle: to replay each
+rare pre-token once as well, all of them would have to be shuffled twice. The table saves work only.
 
 Defined results: a null text counts as empty (no ids); ids and texts of repeated rows repeat; rows
 keep their ``doc_id`` whatever it is, null included; other columns are left out.
@@ -15,6 +20,7 @@ from __future__ import annotations
 import base64
 import heapq
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -25,13 +31,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import memory_returned, slices, text_of
+from .common import memory_returned, slices, some_texts, text_of
 
 NONE = np.int32(2**31 - 1)
 #: Bytes of text whose new pre-tokens are replayed together.
 BLOCK_BYTES = 10 << 20
-#: Units that a task remembers between blocks at most, and the length from which a unit is long.
+#: Units that a task remembers between blocks at most, besides the table, and the length from which a unit is long.
 CACHE_UNITS, LONG_UNIT = 200_000, 256
+#: Units of the table of frequent ones at most (each under LONG_UNIT characters).
+TABLE_UNITS = 1 << 16
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -165,24 +173,45 @@ class BlockEncoder:
         self.find = regex.compile(pattern).findall
         self.run = re.compile(r"\s\s|^ | $").search
         self.cut = re.compile(r"(?<=\S) (?=\S)").split
+        self.table: list[str] = []
+        self.base = np.zeros(0, np.int32), np.zeros(0, np.int64)
         self.clear()
 
     def clear(self) -> None:
-        """Forget all units."""
-        self.seen: list[str] = []
+        """Forget all units but those of the table."""
+        self.seen: list[str] = list(self.table)
         self.later, self.first = _Units(self.seen, " "), _Units(self.seen, "")
-        self.tokens = np.zeros(0, np.int32)
-        self.lengths = np.zeros(0, np.int64)
-        self.known = 0
+        for n, u in enumerate(self.table):
+            if u.startswith(" "):
+                self.later[u[1:]] = n
+            else:
+                self.first[u] = n
+        self.tokens, self.lengths = self.base
+        self.known = len(self.seen)
+
+    def use(self, table: tuple[list[str], np.ndarray, np.ndarray]) -> None:
+        """Start from a table of units, their tokens and these tokens' numbers."""
+        self.table, self.base = table[0], table[1:]
+        self.clear()
+
+    def frequent(self, texts: list[str], units: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The table of the most frequent units of some texts, replayed together."""
+        self.clear()
+        number: Counter[int] = Counter()
+        for t in texts:
+            number.update(self.units(t).tolist())
+        table = [self.seen[n] for n, _ in number.most_common() if len(self.seen[n]) < LONG_UNIT][:units]
+        self.clear()
+        tokens, lengths = self._encoded(table)
+        return table, tokens, lengths
 
     def units(self, text: str) -> np.ndarray:
         parts = self.cut(text) if self.run(text) else text.split(" ")
         out = np.fromiter(map(self.later.__getitem__, parts[1:]), np.int64, len(parts) - 1)
         return np.concatenate([[self.first[parts[0]]], out])
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        of = [self.units(t) for t in texts]
-        fresh = self.seen[self.known :]
+    def _encoded(self, fresh: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of all units one after another, and the number of tokens of each."""
         matches = list(map(self.find, fresh))
         count = np.fromiter(map(len, matches), np.int64, len(matches))
         words: dict[str, int] = {}
@@ -191,12 +220,17 @@ class BlockEncoder:
         flat = tokens[spread((np.cumsum(lengths) - lengths)[which], lengths[which])]
         size = np.r_[0, np.cumsum(lengths[which])]
         ends = np.cumsum(count)
-        size = size[ends] - size[ends - count]
+        return flat, size[ends] - size[ends - count]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        of = [self.units(t) for t in texts]
+        fresh = self.seen[self.known :]
+        flat, size = self._encoded(fresh)
         tokens, lengths = np.concatenate([self.tokens, flat]), np.concatenate([self.lengths, size])
         starts = np.cumsum(lengths) - lengths
         out = [tokens[spread(starts[u], lengths[u])] for u in of]
         long = [u for u in fresh if len(u) > LONG_UNIT]
-        if len(self.seen) > CACHE_UNITS or sum(map(len, long)) > 1 << 20:
+        if len(self.seen) > len(self.table) + CACHE_UNITS or sum(map(len, long)) > 1 << 20:
             self.clear()
         else:
             self.tokens, self.lengths, self.known = tokens, lengths, len(self.seen)
@@ -232,9 +266,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     rows = docs.select(F.col(id_col), text_of(text_col).alias("text"))
     kind = rows.schema[0]
     arrow = to_arrow_type(kind.dataType)
+    table = docs.sparkSession.sparkContext.broadcast(BlockEncoder(load_ranks(ranks_path), pattern).frequent(some_texts(docs, text_col), TABLE_UNITS))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(ranks_path, pattern)
+        own.use(table.value)
         with memory_returned(own):
             for ids, texts in _blocks(batches, block_bytes):
                 encoded = own.encode(texts)

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Rows that are looked at together, and bytes of an Arrow batch in steps whose tasks hold much else.
 BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
+#: Texts from which tables of frequent strings are made, and the bytes of the longest of them: the driver gets 64 MiB at most.
+SAMPLE_ROWS, SAMPLE_BYTES = 4_096, 16 << 10
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _own_dir: str | None = None
@@ -118,6 +120,11 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def some_texts(docs: DataFrame, text_col: str) -> list[str]:
+    """A bounded number of texts of bounded size, from which tables that only save work are made; the rest of ``docs`` is not read."""
+    return [r.text for r in docs.select(text_of(text_col).alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES).take(SAMPLE_ROWS)]
+
+
 def row_of(names: list[str]) -> Column:
     """Columns as one, ``row``, so that their names clash with nothing that stands beside it."""
     return F.struct(*(F.col(f"`{c}`") for c in names)).alias("row")

@@ -1,11 +1,11 @@
 """Document fingerprints by a homomorphic multiset hash.
 
 Each paragraph (line) is hashed to a wide vector; a document's fingerprint is the sum of its
-paragraphs' vectors, each lane modulo 2 ** 16. So it does not depend on their order, and inserting or
+paragraphs' vectors, each lane modulo 2 ** 32. So it does not depend on their order, and inserting or
 deleting a paragraph adds or subtracts its vector. The first ``EQUAL`` lanes are a uniform hash of the
 paragraph (equality); the other ``LIKE`` lanes hold the paragraph's three-word runs, each with a sign in
 one lane, so that the cosine of two documents' lanes estimates what share of their runs they have in
-common, however many paragraphs there are.
+common, however many paragraphs there are. A text of under 2 ** 31 bytes cannot make a lane of these wrap.
 
 To pair each document with the next, documents are dealt to ranges of ids that start at ids of the
 table; the first document of a range is also sent to the range before, as its end. No task sees more
@@ -32,16 +32,16 @@ from pyspark.sql import functions as F
 from .common import slices, text_of
 from .minhash import _hash_of, _mix
 
-EQUAL, LIKE, RUN = 64, 256, 3
+EQUAL, LIKE, RUN = 32, 256, 3
 RANGE_ROWS, MAX_RANGES = 2000, 20_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Fingerprint:
-    """A sum of paragraphs' vectors, modulo 2 ** 16 in each lane."""
+    """A sum of paragraphs' vectors, modulo 2 ** 32 in each lane."""
 
     def __init__(self, lanes: np.ndarray | None = None) -> None:
-        self.lanes = np.zeros(EQUAL + LIKE, np.uint16) if lanes is None else lanes
+        self.lanes = np.zeros(EQUAL + LIKE, np.uint32) if lanes is None else lanes
 
     @classmethod
     def of(cls, text: str) -> Fingerprint:
@@ -59,7 +59,7 @@ class Fingerprint:
     __hash__ = None
 
     def likeness(self, other: Fingerprint) -> float:
-        a, b = (x.lanes[EQUAL:].astype(np.int16).astype(np.float64) for x in (self, other))
+        a, b = (x.lanes[EQUAL:].view(np.int32).astype(np.float64) for x in (self, other))
         size = math.sqrt(float(a @ a) * float(b @ b))
         if self == other:
             return 1.0
@@ -68,13 +68,13 @@ class Fingerprint:
         return min(1.0, max(0.0, float(a @ b) / size))
 
     def __str__(self) -> str:
-        return base64.b64encode(self.lanes.astype("<u2").tobytes()).decode()
+        return base64.b64encode(self.lanes.astype("<u4").tobytes()).decode()
 
 
 def vector(paragraphs: list[str]) -> np.ndarray:
     """The sum of the paragraphs' vectors."""
-    digests = b"".join(hashlib.shake_128(p.encode()).digest(2 * EQUAL) for p in paragraphs)
-    equal = np.frombuffer(digests, "<u2").reshape(-1, EQUAL).sum(0, dtype=np.uint64)
+    digests = b"".join(hashlib.shake_128(p.encode()).digest(4 * EQUAL) for p in paragraphs)
+    equal = np.frombuffer(digests, "<u4").reshape(-1, EQUAL).sum(0, dtype=np.uint64)
     words: list[str] = []
     for p in paragraphs:
         own = p.lower().split()
@@ -91,7 +91,7 @@ def vector(paragraphs: list[str]) -> np.ndarray:
         total = total[real]
         sign = (total >> np.uint64(63)).astype(np.int64) * 2 - 1
         like = np.bincount((total % np.uint64(LIKE)).astype(np.int64), sign, LIKE).astype(np.int64)
-    return np.concatenate([equal.astype(np.uint16), (like & 0xFFFF).astype(np.uint16)])
+    return np.concatenate([equal.astype(np.uint32), like.astype(np.uint32)])
 
 
 def edited(text: str, following: str) -> str:

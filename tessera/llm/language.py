@@ -10,7 +10,8 @@ the executors and only languages x dimensions numbers reach the driver, whatever
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; ties go to the
 language that sorts first; repeated rows repeat; rows without a language do not teach; if nothing
-can be learned, every text is ``und``; columns other than the named ones are left out.
+can be learned, every text is ``und``; letters are what Unicode calls so (category L: no digits, fractions or
+Roman numerals); more than ``MAX_LANGUAGES`` languages are an error; columns other than the named ones are left out.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,9 +30,19 @@ from pyspark.sql import types as T
 from .common import crc_mod, slices, text_of
 
 DIMENSIONS, NGRAM = 1024, 3
-#: N-grams whose vectors a worker remembers (4 bytes x dimensions each).
-CACHE_GRAMS = 20_000
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: N-grams and letters whose vectors a worker remembers (4 bytes x dimensions each), and n-grams that are added up together.
+CACHE_GRAMS, CACHE_LETTERS, TOGETHER = 20_000, 4_000, 2_000
+#: Languages at most (4 bytes x dimensions each are broadcast); more are an error.
+MAX_LANGUAGES = 2_000
+#: Runs of letters (Unicode category L), and a faster pattern that also takes numbers such as a half or a Roman numeral.
+_LETTERS, _NEARLY = regex.compile(r"\p{L}+"), re.compile(r"[^\W\d_]+")
+
+
+def words_of(text: str) -> list[str]:
+    """The runs of letters of a text, in lower case."""
+    text = text.lower()
+    words = _NEARLY.findall(text)
+    return words if "".join(words).isalpha() else _LETTERS.findall(text)
 
 
 class Space:
@@ -40,10 +52,12 @@ class Space:
         self.dimensions, self.n = dimensions, n
         self.letters: dict[int, np.ndarray] = {}
         self.rows: dict[int, int] = {}
-        self.matrix = np.zeros((1024, dimensions), np.float32)
+        self.matrix = np.empty((CACHE_GRAMS, dimensions), np.float32)
 
     def letter(self, code: int) -> np.ndarray:
         if code not in self.letters:
+            if len(self.letters) >= CACHE_LETTERS:
+                self.letters.clear()
             bits = np.random.Generator(np.random.PCG64(zlib.crc32(b"letter %d" % code))).integers(0, 2, self.dimensions)
             self.letters[code] = (2 * bits - 1).astype(np.float32)
         return self.letters[code]
@@ -53,8 +67,6 @@ class Space:
         at = self.rows.get(gram)
         if at is None:
             at = self.rows[gram] = len(self.rows)
-            if at == len(self.matrix):
-                self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
             vector = np.ones(self.dimensions, np.float32)
             for place in range(self.n):
                 vector = vector * np.roll(self.letter(gram >> 21 * place & 0x1FFFFF), place)
@@ -63,7 +75,7 @@ class Space:
 
     def text(self, text: str) -> np.ndarray | None:
         """The bundle of a text at unit length; None if it has no letter."""
-        words = _LETTERS.findall(text.lower())
+        words = words_of(text)
         if not words:
             return None
         codes = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le"), "<u4").astype(np.int64)
@@ -72,12 +84,12 @@ class Space:
         for place in range(1, self.n):
             grams = grams << 21 | codes[place : len(codes) - self.n + 1 + place]
         grams, counts = np.unique(grams, return_counts=True)
-        if len(self.rows) + len(grams) > CACHE_GRAMS:
-            self.rows.clear()
         out = np.zeros(self.dimensions, np.float32)
-        for i in range(0, len(grams), CACHE_GRAMS // 2):
-            part = [self.row(g) for g in grams[i : i + CACHE_GRAMS // 2].tolist()]
-            out += counts[i : i + CACHE_GRAMS // 2].astype(np.float32) @ self.matrix[part]
+        for i in range(0, len(grams), TOGETHER):
+            if len(self.rows) + TOGETHER > CACHE_GRAMS:
+                self.rows.clear()
+            part = [self.row(g) for g in grams[i : i + TOGETHER].tolist()]
+            out += counts[i : i + TOGETHER].astype(np.float32) @ self.matrix[part]
         size = float(np.sqrt(out @ out))
         return out / np.float32(size) if size else None
 
@@ -105,6 +117,8 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dimen
     sums: dict[str, np.ndarray] = {}
     for r in rows.mapInArrow(run, "lang string, i int, v long").groupBy("lang", "i").agg(F.sum("v").alias("v")).toLocalIterator():
         sums.setdefault(r.lang, np.zeros(dimensions))[r.i] = r.v
+        if len(sums) > MAX_LANGUAGES:
+            raise ValueError(f"more than {MAX_LANGUAGES} languages")
     found = {k: v / np.linalg.norm(v) for k, v in sorted(sums.items()) if v.any()}
     if len(found) > 1:
         common = sum(found.values()) / len(found)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import memory_returned, slices, text_of, Workspace
+from .common import Workspace, memory_returned, slices, text_of
 from .components import components
 
 WORDS, THRESHOLD = 5, 0.8

@@ -15,16 +15,19 @@ Tokens here are runs of characters other than space, tab and line ends.
 
 Defined results: nulls in domain, language or source are leaves named '' (weight as others that are not
 named, 1); a null text has no tokens; a leaf without tokens gives nothing; nodes of weight 0 give nothing;
-documents without tokens are taken where the prefix reaches them; repeated rows are taken separately; if
+documents without tokens are taken where the prefix reaches them; repeated rows are taken separately; other
+columns stay as they are, whatever their names; if
 the budget is over what there is, everything is taken ``epochs`` times; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, row_of
 
 LEVELS = ["domain", "lang", "source"]
 TOKEN = "[^ \\t\\n\\r]+"
@@ -48,7 +51,7 @@ def _weight(level: str, weights: dict[str, dict[str, float]]) -> Column:
 
 def _share(children: DataFrame, parents: list[str], child: str) -> DataFrame:
     """``children`` (parents, child, cap, weight, budget of the parent) with ``given``: the budget by weight, within caps."""
-    by = Window.partitionBy(*parents) if parents else Window.partitionBy(F.lit(0))
+    by = Window.partitionBy(*parents) if parents else Window.partitionBy(F.lit(0))  # one row a domain
     usable = F.when(F.col("weight") > 0, F.col("weight")).otherwise(F.lit(0.0))
     rows = children.withColumn("w", usable).withColumn("c", F.when(F.col("w") > 0, F.col("cap")).otherwise(F.lit(0.0)))
     before = by.orderBy(F.try_divide("c", "w").asc_nulls_first(), child).rowsBetween(Window.unboundedPreceding, -1)
@@ -62,9 +65,8 @@ def _share(children: DataFrame, parents: list[str], child: str) -> DataFrame:
 
 def quotas(leaves: DataFrame, weights: dict[str, dict[str, float]], share: float, epochs: int) -> DataFrame:
     """Each leaf's ``quota`` of tokens; ``leaves`` has the levels and ``tokens``."""
-    held = leaves.withColumn("cap", (F.col("tokens") * epochs).cast("double"))
-    total = F.floor(F.sum("tokens").over(Window.partitionBy(F.lit(0))) * F.lit(float(share))).cast("double")
-    held = held.withColumn("budget", total)
+    total = leaves.agg(F.sum("tokens")).first()[0] or 0
+    held = leaves.withColumn("cap", (F.col("tokens") * epochs).cast("double")).withColumn("budget", F.lit(float(math.floor(total * share))))
     for i, level in enumerate(LEVELS):
         parents = LEVELS[:i]
         nodes = held.groupBy(*parents, level).agg(F.sum("cap").alias("cap"), F.min("budget").alias("budget")).withColumn("weight", _weight(level, weights))
@@ -74,38 +76,37 @@ def quotas(leaves: DataFrame, weights: dict[str, dict[str, float]], share: float
 
 
 def mix(docs: DataFrame, weights: dict[str, dict[str, float]], share: float, epochs: int = 2, seed: int = 0, domain: Column | None = None) -> DataFrame:
-    """Rows of ``docs`` that are taken, with ``_domain``, ``_tokens`` and ``_copies`` (1 to ``epochs``)."""
-    spark = docs.sparkSession
-    work = Workspace(spark, "mixing")
-    placed = docs.drop(*(f"_{x}" for x in ("domain", "lang", "source", "tokens", "copies", "key", "slot", "whole", "rest", "cut", "start")))
-    names = placed.columns
-    placed = placed.withColumn("_domain", F.coalesce(domain if domain is not None else domain_of_source(), F.lit(""))).withColumn("_lang", F.coalesce(F.col("lang").cast("string"), F.lit(""))).withColumn("_source", F.coalesce(F.col("source").cast("string"), F.lit("")))
-    placed = placed.withColumn("_tokens", F.coalesce(F.regexp_count("text", F.lit(TOKEN)), F.lit(0)).cast("long"))
-    keys = [f"_{x}" for x in LEVELS]
-    narrow = work.keep(placed.select("doc_id", *keys, "_tokens"))
-    leaves = narrow.groupBy(*keys).agg(F.sum("_tokens").alias("tokens")).toDF(*LEVELS, "tokens")
-    quota = quotas(leaves, weights, share, epochs).where("tokens > 0")
-    quota = quota.where("quota > 0").select(*LEVELS, F.expr("quota div tokens"), F.expr("quota % tokens")).toDF(*keys, "_whole", "_rest")
-    quota = work.keep(quota)
+    """Rows of ``docs`` that are taken, with ``_domain``, ``_tokens`` and ``_copies`` (1 to ``epochs``); columns of these three names are replaced."""
+    work = Workspace(docs.sparkSession, "mixing")
+    names = [c for c in docs.columns if c.lower() not in ("_domain", "_tokens", "_copies")]
+    leaf = [F.coalesce(x.cast("string"), F.lit("")).alias(c) for c, x in zip(LEVELS, (domain if domain is not None else domain_of_source(), F.col("lang"), F.col("source")), strict=True)]
+    tokens = F.coalesce(F.regexp_count("text", F.lit(TOKEN)), F.lit(0)).cast("long")
+    placed = docs.select(row_of(names), F.col("doc_id").alias("id"), *leaf, tokens.alias("tokens"))
+    narrow, narrow_path = work.write(placed.drop("row"))
+    leaves, leaves_path = work.write(narrow.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens")))
+    quota = quotas(leaves, weights, share, epochs).where("tokens > 0 AND quota > 0")
+    quota = work.keep(quota.select(*LEVELS, F.expr("quota div tokens AS whole"), F.expr("quota % tokens AS rest")))
     few = quota.count() <= MAX_BROADCAST
 
     def with_leaf(rows: DataFrame, table: DataFrame) -> DataFrame:
-        rows = rows.join(F.broadcast(table) if few else table, keys)
-        name = F.concat(F.lit(f"{seed}:"), F.col("_whole").cast("string"), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-        return rows.withColumn("_key", F.md5(name.cast("binary"))).withColumn("_slot", F.substring("_key", 1, 3))
-
-    slots = with_leaf(narrow, quota).groupBy(*keys, "_slot", "_rest").agg(F.sum("_tokens").alias("n"))
-    upto = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, 0)
-    slots = slots.withColumn("end", F.sum("n").over(upto)).where("end > _rest")
-    cut = slots.groupBy(*keys).agg(F.min(F.struct("_slot", (F.col("end") - F.col("n")).alias("start"))).alias("cut"))
-    table = work.keep(quota.join(cut, keys).select(*keys, "_whole", "_rest", F.col("cut._slot").alias("_cut"), F.col("cut.start").alias("_start")))
+        rows = rows.join(F.broadcast(table) if few else table, LEVELS)
+        name = F.concat(F.lit(f"{seed}:"), F.col("whole").cast("string"), F.lit(":"), F.coalesce(F.col("id").cast("string"), F.lit("")))
+        return rows.withColumn("key", F.md5(name.cast("binary"))).withColumn("slot", F.substring("key", 1, 3))
+
+    slots = with_leaf(narrow, quota).groupBy(*LEVELS, "slot", "rest").agg(F.sum("tokens").alias("n"))
+    upto = Window.partitionBy(*LEVELS).orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
+    slots = slots.withColumn("end", F.sum("n").over(upto)).where("end > rest")
+    cut = slots.groupBy(*LEVELS).agg(F.min(F.struct("slot", (F.col("end") - F.col("n")).alias("start"))).alias("cut"))
+    table = work.keep(quota.join(cut, LEVELS).select(*LEVELS, "whole", "rest", F.col("cut.slot").alias("last"), F.col("cut.start").alias("start")))
+    work.drop(narrow_path)
+    work.drop(leaves_path)
     rows = with_leaf(placed, table)
-    copies = F.col("_whole") + F.when(F.col("_slot") < F.col("_cut"), 1).otherwise(0)
-    outside = rows.where("_slot <> _cut").withColumn("_copies", copies)
-    order = Window.partitionBy(*keys, "_slot").orderBy("_key", "doc_id", "_tokens").rowsBetween(Window.unboundedPreceding, 0)
-    inside = rows.where("_slot = _cut").withColumn("_copies", F.col("_whole") + (F.col("_start") + F.sum("_tokens").over(order) <= F.col("_rest")).cast("int"))
-    out = [*names, "_domain", "_tokens", F.col("_copies").cast("int").alias("_copies")]
-    return outside.select(*out).unionAll(inside.select(*out)).where("_copies > 0")
+    copies = F.col("whole") + F.when(F.col("slot") < F.col("last"), 1).otherwise(0)
+    outside = rows.where("slot <> last").withColumn("copies", copies)
+    order = Window.partitionBy(*LEVELS, "slot").orderBy("key", "id", "tokens").rowsBetween(Window.unboundedPreceding, 0)
+    inside = rows.where("slot = last").withColumn("copies", F.col("whole") + (F.col("start") + F.sum("tokens").over(order) <= F.col("rest")).cast("int"))
+    out = ["row", F.col("domain").alias("_domain"), F.col("tokens").alias("_tokens"), F.col("copies").cast("int").alias("_copies")]
+    return outside.select(*out).unionAll(inside.select(*out)).where("_copies > 0").select("row.*", "_domain", "_tokens", "_copies")
 
 
 #: The weights of the query: domains and languages; sources of a language share alike.

@@ -2,11 +2,11 @@
 
 A pre-token is a run of spaces with the characters up to the next space. The model's pieces never
 have a space after another character (checked when it is loaded), so pre-tokens are encoded on their
-own and their lengths add up. First, each task keeps a bounded summary of its frequent pre-tokens;
-the summaries of all documents merge into one table of at most ``table_size`` pre-tokens and their
-token counts, which is broadcast (a few MB at most). Second, each task adds up the counts of its
-texts; a pre-token outside the table goes to the worker's bounded cache and, failing that, to the
-model. Only summaries are shuffled, never pre-tokens. The table has no influence on the results.
+own and their lengths add up. The first tier is a table of the frequent pre-tokens of a bounded number of
+texts (``SAMPLE_ROWS`` of at most ``SAMPLE_BYTES`` bytes, see common) and their token counts: at most
+``table_size`` of them, a few MB, which is broadcast. The second tier is each worker's bounded cache: a
+pre-token outside the table goes there and, failing that, to the model. So the corpus is read once and
+nothing is shuffled. The table saves work and has no influence on the results, which are of all pre-tokens.
 
 Defined results: a null text counts as empty (0 tokens, 0 bytes); repeated rows repeat; ids may be
 null; other columns are left out; an empty table gives an empty result.
@@ -23,12 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, text_of
+from .common import memory_returned, slices, some_texts, text_of
 
 #: Entries of the broadcast table, and bytes of the longest pre-token in it or in a cache.
 TABLE_SIZE, WORD_CHARS = 1 << 16, 48
-#: Entries of a worker's cache, and of a task's summary while it counts and when it ends.
-CACHE_SIZE, COUNTED, SUMMARY = 400_000, 200_000, 1 << 14
+#: Entries of a worker's cache.
+CACHE_SIZE = 400_000
 #: U+2581 in a text is the same symbol as a space to the model.
 _SPACES = " ▁"
 _PARTS = re.compile(f"[{_SPACES}]+[^{_SPACES}]*").findall
@@ -78,40 +78,32 @@ class LengthCache(dict):
         return n
 
 
-def frequent_pretokens(docs: DataFrame, text_col: str = "text", table_size: int = TABLE_SIZE) -> DataFrame:
-    """The most frequent pre-tokens of all documents (``word``, ``n``), from summaries of each task."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[str] = Counter()
-        for b in slices(batches):
-            for t in b.column(0).to_pylist():
-                seen.update(pretokens(t))
-            if len(seen) > COUNTED:
-                seen = Counter(dict(seen.most_common(COUNTED // 2)))
-        top = [(w, n) for w, n in seen.most_common(SUMMARY) if len(w) <= WORD_CHARS]
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["word", "n"])
-
-    found = docs.select(text_of(text_col).alias("text")).mapInArrow(run, "word string, n long")
-    return found.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(table_size)
+def frequent_pretokens(texts: Iterable[str], table_size: int = TABLE_SIZE) -> list[str]:
+    """The most frequent pre-tokens of some texts."""
+    seen: Counter[str] = Counter()
+    for t in texts:
+        seen.update(pretokens(t))
+    return [w for w, _ in seen.most_common(2 * table_size) if len(w) <= WORD_CHARS][:table_size]
 
 
 def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text", table_size: int = TABLE_SIZE) -> DataFrame:
     """One row per row of ``docs``: its id, n_bytes, n_tokens and whether these exceed ``limit``."""
     spark = docs.sparkSession
     count = piece_counter(model_path)
-    frequent = {r.word: count(r.word) for r in frequent_pretokens(docs, text_col, table_size).toLocalIterator()}
+    frequent = {w: count(w) for w in frequent_pretokens(some_texts(docs, text_col), table_size)}
     shared = spark.sparkContext.broadcast(frequent)
     rows = docs.select(F.col(id_col), text_of(text_col).alias("text"))
     kind = rows.schema[0].dataType
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         length = LengthCache(shared.value, piece_counter(model_path)).__getitem__
-        for b in slices(batches):
-            texts = b.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array([sum(map(length, pretokens(t))) for t in texts], pa.int64())],
-                [id_col, "n_bytes", "n_tokens"],
-            )
+        with memory_returned():
+            for b in slices(batches):
+                texts = b.column(1).to_pylist()
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array([sum(map(length, pretokens(t))) for t in texts], pa.int64())],
+                    [id_col, "n_bytes", "n_tokens"],
+                )
 
     out = rows.mapInArrow(run, T.StructType([T.StructField(id_col, kind), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())]))
     return out.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -1,14 +1,15 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-Features are the hashed byte n-grams (of lower-cased text, white space as one space) that a text has;
+Features are the hashed n-grams of characters (of lower-cased text, white space as one space) that a text has;
 each is worth its log-count ratio between toxic and other texts, over all labelled training texts. A
 logistic regression on these values, at unit length, is fitted by gradient descent. Ratios come from about
 ``LEARN_ROWS`` labelled texts at most, the regression from about ``FIT_ROWS`` of each label: those whose
-ids have the smallest hashes. This sample of labels, two numbers a row, is broadcast, so no text is shuffled.
+ids have the smallest hashes, as far as their features take ``FIT_BYTES``. This sample of labels, two numbers a row, is
+broadcast, so no text is shuffled.
 
 Defined results: null and empty texts have no feature and get the score of the intercept alone; rows
 without a label, or with a null one, do not teach; a text labelled more than once teaches once a
-label row; if only one label (or none) is there, every score is next to that label (0 for none).
+label row, and all rows that share a labelled id teach; if only one label (or none) is there, every score is next to that label (0 for none).
 Repeated rows repeat; ids may be null; columns other than the named ones are left out.
 """
 
@@ -23,16 +24,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, memory_returned, slices, text_of, Workspace
+from .common import Workspace, crc_mod, memory_returned, slices, text_of
 
 BITS, SIZES = 18, (4,)
 #: Labelled texts from which ratios are learned, and of each label those on which the regression is fitted (about, at most).
 LEARN_ROWS = 40_000
 FIT_ROWS = 1_500
+#: Bytes of features (4 each) that the regression is fitted on, at most: those of the texts whose features have the smallest hashes.
+FIT_BYTES = 48 << 20
 #: Steps of the descent, what is added to counts, texts a feature must be in, and the penalty on squared weights.
 STEPS, SMOOTH, LEAST, DECAY = 80, 0.3, 3, 1e-4
 _SPACE = re.compile(r"\s+")
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+_MIX, _BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 class Features:
@@ -43,7 +46,7 @@ class Features:
         self.mark = np.zeros(1 << bits, bool)
 
     def of(self, text: str) -> np.ndarray:
-        data = np.frombuffer(f" {_SPACE.sub(' ', text.lower()).strip()} ".encode(), np.uint8).astype(np.uint64)
+        data = np.frombuffer(f" {_SPACE.sub(' ', text.lower()).strip()} ".encode("utf-32-le"), "<u4")
         if len(data) < 3:
             return np.zeros(0, np.int64)
         for size in self.sizes:
@@ -51,7 +54,7 @@ class Features:
             if n > 0:
                 h = np.full(n, size, np.uint64)
                 for i in range(size):
-                    h = (h << np.uint64(8)) | data[i : i + n]
+                    h = h * _BASE + data[i : i + n]
                 h *= _MIX
                 h ^= h >> np.uint64(29)
                 h *= _MIX
@@ -75,10 +78,10 @@ class Model:
 
 
 def taught(labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic", learn_rows: int = LEARN_ROWS, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """About ``learn_rows`` of the labels at most (``_id``, ``label``), of which about ``fit_rows`` of each label are marked ``fit``."""
-    rows = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("label"))
+    """About ``learn_rows`` of the labels at most (``id``, ``label``), of which about ``fit_rows`` of each label are marked ``fit``."""
+    rows = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     number = {r.label: r.n for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    draw = (F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) / (1 << 30)).cast("double")
+    draw = (F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / (1 << 30)).cast("double")
     part = min(1.0, learn_rows / max(1, sum(number.values())))
     fit = {y: min(part, fit_rows / max(1, n)) for y, n in number.items()}
     return rows.where(draw < part).withColumn("fit", draw < F.when(F.col("label") == 1, fit.get(1, 1.0)).otherwise(fit.get(0, 1.0)))
@@ -86,7 +89,8 @@ def taught(labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic",
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, sizes: tuple[int, ...] = SIZES) -> Model:
     """The model of the texts that ``labels`` (see ``taught``) marks; the labels, which are bounded, are broadcast."""
-    rows = docs.join(F.broadcast(labels), F.col(id_col) == F.col("_id")).select(text_of(text_col).alias("text"), "label", "fit")
+    texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    rows = texts.join(F.broadcast(labels.select("id", "label", "fit")), "id").select("text", "label", "fit")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, sums = Features(bits, sizes), np.zeros((2, (1 << bits) + 1), np.int64)
@@ -118,8 +122,13 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     number = number[:, :-1] + SMOOTH
     ratios = np.log(number[1] / (texts[1] + 2 * SMOOTH)) - np.log(number[0] / (texts[0] + 2 * SMOOTH))
     ratios[rare] = 0
-    taken = sorted((r.label, bytes(r.features)) for r in found.where("features IS NOT NULL").select("label", "features").toLocalIterator())
-    return _fit(taken, ratios, texts)
+    taken, held = [], 0
+    for r in found.where("features IS NOT NULL").select("label", "features").orderBy(F.xxhash64("features"), "label", "features").toLocalIterator():
+        held += len(r.features)
+        if held > FIT_BYTES:
+            break
+        taken.append((r.label, bytes(r.features)))
+    return _fit(sorted(taken), ratios, texts)
 
 
 def _fit(taken: list[tuple[int, bytes]], ratios: np.ndarray, texts: np.ndarray) -> Model:

@@ -219,7 +219,9 @@ def test_mixing(spark):
     rnd = random.Random(17)
     rows = [(i, " ".join(words(rnd, rnd.randint(0, 40))), rnd.choice(["en", "en", "en", "de", "fr", None]), rnd.choice(["src1"] * 6 + ["src2", "src3", "other", None]), "clash") for i in range(600)]
     rows += [(600, None, "en", "src1", "c"), (None, "a b", "en", "src1", "c"), rows[5], rows[5], (601, "x " * 30_000, "de", "src2", "c")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, cut_slot string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, slot string")
+    for name in ("id", "row", "key", "domain", "tokens", "copies", "whole", "rest", "last", "start", "cut", "_key", "_lang", "_source"):
+        docs = docs.withColumn(name, F.lit("clash"))
     taken = mixing.mix(docs, mixing.WEIGHTS, 0.4, 2, 3)
     got = taken.collect()
     count = defaultdict(int)
