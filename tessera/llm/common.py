@@ -84,9 +84,11 @@ class Workspace:
         target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
 
-    def clear(self) -> None:
-        """Remove all tables, once no later step reads them."""
-        self.drop(self.root)
+    def clear(self, but: str | None = None) -> None:
+        """Remove all tables, once no later step reads them; ``but``: the path of one that stays."""
+        for i in range(1, self.count + 1):
+            if f"{self.root}/{i}" != but:
+                self.drop(f"{self.root}/{i}")
 
     def _end(self, jvm, conf) -> None:
         with suppress(Exception):  # the JVM may have gone first

@@ -51,8 +51,8 @@ WINDOW, GRAM = 50, 16
 BLOCK_BYTES, SHARD_BYTES, LEAST_SHARDS = 1 << 20, 12 << 20, 64
 #: Groups of shards that are worked on one after another, which divides the disk that is held.
 GROUPS = 2
-#: Bytes of suffixes that are copied together; bytes from which a packed run is compressed.
-PIECE, COMPRESSED = 1 << 20, 1 << 10
+#: Places whose anchors are found together (as many as fit a cache); bytes of suffixes that are copied together; bytes from which a packed run is compressed.
+STRETCH, PIECE, COMPRESSED = 1 << 15, 1 << 18, 1 << 10
 #: Bytes kept of suffixes for each byte of text, roughly; batches of a one-off run.
 KEPT_PER_BYTE, BATCHES = 3.7, 3
 #: Suffixes with copies that a task remembers, and heads that it counts.
@@ -113,12 +113,13 @@ def _firsts(lengths: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Run:
-    """Suffixes: document, windows, place of the anchor in the bytes, number of places; the places of their first windows; the bytes."""
+    """Suffixes: document, windows, place of the anchor among the bytes, number of places, where their bytes begin; the places of their first windows; bytes."""
 
     doc: np.ndarray
     windows: np.ndarray
     anchor: np.ndarray
     times: np.ndarray
+    begin: np.ndarray
     at: np.ndarray
     data: np.ndarray
     window: int
@@ -128,20 +129,25 @@ class Run:
         return self.windows.astype(np.int64) + (self.window - 1)
 
     def take(self, which: np.ndarray, places: bool = True) -> Run:
-        """Some suffixes, in the order given; without their places, if these are no longer asked for."""
+        """Some suffixes, in the order given, with the same bytes; without their places, if these are no longer asked for."""
         times = self.times[which] if places else np.zeros(len(which), np.uint32)
         at = _gather(self.at, _firsts(self.times)[which], times.astype(np.int64)) if places else self.at[:0]
-        return Run(self.doc[which], self.windows[which], self.anchor[which], times, at, _gather(self.data, _firsts(self.lengths)[which], self.lengths[which]), self.window)
+        return Run(self.doc[which], self.windows[which], self.anchor[which], times, self.begin[which], at, self.data, self.window)
+
+    def compact(self) -> Run:
+        """With the bytes of the suffixes one after another, and no others."""
+        return Run(self.doc, self.windows, self.anchor, self.times, _firsts(self.lengths), self.at, _gather(self.data, self.begin, self.lengths), self.window)
 
     def parts(self, cuts: np.ndarray) -> Iterator[Run]:
-        """The runs between ``cuts``."""
-        bytes_, places = np.r_[_firsts(self.lengths), len(self.data)], np.r_[_firsts(self.times), len(self.at)]
+        """The runs between ``cuts`` of a compact run."""
+        bytes_, places = np.r_[self.begin, len(self.data)], np.r_[_firsts(self.times), len(self.at)]
         for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            yield Run(self.doc[i:j], self.windows[i:j], self.anchor[i:j], self.times[i:j], self.at[places[i] : places[j]], self.data[bytes_[i] : bytes_[j]], self.window)
+            yield Run(self.doc[i:j], self.windows[i:j], self.anchor[i:j], self.times[i:j], self.begin[i:j] - bytes_[i], self.at[places[i] : places[j]], self.data[bytes_[i] : bytes_[j]], self.window)
 
     def pack(self, pack=zstandard.ZstdCompressor(level=1).compress) -> bytes:
+        """A compact run as bytes."""
         head = np.array([len(self.doc), len(self.at), len(self.data), self.window], "<u4").tobytes()
-        raw = head + self.doc.astype("<i8").tobytes() + self.windows.astype("u1").tobytes() + self.anchor.astype("u1").tobytes() + self.times.astype("<u4").tobytes() + self.at.astype("<u4").tobytes() + self.data.tobytes()
+        raw = b"".join([head, self.doc.astype("<i8"), self.windows.astype("u1"), self.anchor.astype("u1"), self.times.astype("<u4"), self.at.astype("<u4"), self.data])
         return b"\1" + pack(raw) if len(raw) >= COMPRESSED else b"\0" + raw
 
     @staticmethod
@@ -152,12 +158,14 @@ class Run:
         for kind, wide, number in (("<i8", 8, n), ("u1", 1, n), ("u1", 1, n), ("<u4", 4, n), ("<u4", 4, places), ("u1", 1, size)):
             cuts.append(np.frombuffer(raw, kind, number, at))
             at += wide * number
-        return Run(*cuts, window)
+        return Run(*cuts[:4], _firsts(cuts[1].astype(np.int64) + (window - 1)), *cuts[4:], window)
 
     @staticmethod
     def join(runs: list[Run], window: int) -> Run:
-        kinds = {"doc": "<i8", "windows": "u1", "anchor": "u1", "times": "<u4", "at": "<u4", "data": "u1"}
-        return Run(*(np.concatenate([np.zeros(0, k), *(getattr(r, f) for r in runs)]) for f, k in kinds.items()), window)
+        kinds = {"doc": "<i8", "windows": "u1", "anchor": "u1", "times": "<u4", "begin": "<i8", "at": "<u4", "data": "u1"}
+        both = Run(*(np.concatenate([np.zeros(0, k), *(getattr(r, f) for r in runs)]) for f, k in kinds.items()), window)
+        both.begin += np.repeat(_firsts(np.array([len(r.data) for r in runs], np.int64)), [len(r.doc) for r in runs])
+        return both
 
 
 class Strings:
@@ -166,7 +174,7 @@ class Strings:
     def __init__(self, run: Run) -> None:
         pad = np.zeros(run.window + PLACES + 16, np.uint8)  # so that words can be read there
         self.loads = _loads(np.concatenate([pad, run.data, pad]))
-        self.begin = _firsts(run.lengths) + len(pad)
+        self.begin = run.begin + len(pad)
         self.anchor = self.begin + run.anchor
         self.end = self.begin + run.lengths
 
@@ -212,13 +220,23 @@ def suffix_array(n: int, word: Callable[[np.ndarray, int], np.ndarray], words: i
     return order, common
 
 
-def _hashes(loads: np.ndarray, n: int) -> np.ndarray:
-    """A rank (31 bits, above it whether the string has a period that divides 8) and, below, the place of each string of GRAM bytes."""
-    packed = _mix(loads[:n] * _C[0], loads[8 : n + 8], _C[1]) >> np.uint64(1)
-    packed &= np.uint64(0x7FFFFFFF00000000)
-    packed |= (loads[:n] == loads[8 : n + 8]).astype(np.uint64) << np.uint64(63)
-    packed |= np.arange(n, dtype=np.uint64)
-    return packed
+def _anchors(loads: np.ndarray, n: int, span: int) -> np.ndarray:
+    """The place of the anchor of the window that begins at each place: the first of ``span`` with the smallest hash."""
+    out = np.empty(n - span + 1, np.uint32)
+    for begin in range(0, len(out), STRETCH):
+        end = min(begin + STRETCH + span - 1, n)
+        # 31 bits of hash, below that the place, above it whether the string has a period that divides 8.
+        low = _mix(loads[begin:end] * _C[0], loads[begin + 8 : end + 8], _C[1]) >> np.uint64(1)
+        low &= np.uint64(0x7FFFFFFF00000000)
+        low |= (loads[begin:end] == loads[begin + 8 : end + 8]).astype(np.uint64) << np.uint64(63)
+        low |= np.arange(begin, end, dtype=np.uint64)
+        reach = 1
+        while reach < span:
+            step = min(reach, span - reach)
+            low = np.minimum(low[: len(low) - step], low[step:])
+            reach += step
+        out[begin : begin + len(low)] = low.astype(np.uint32)
+    return out
 
 
 def suffixes(texts: list[bytes], docs: np.ndarray, window: int = WINDOW, hot: np.ndarray | None = None, shards: int = 1, group: int = 0, groups: int = 1) -> tuple[Run, np.ndarray, np.ndarray, np.ndarray]:
@@ -231,40 +249,34 @@ def suffixes(texts: list[bytes], docs: np.ndarray, window: int = WINDOW, hot: np
     size = np.array([len(t) for t in texts], np.int64)
     begin = np.cumsum(size) - size
     loads = _loads(data)
-    places = _ranges(begin, np.maximum(size - window + 1, 0))
-    if not len(places):
+    upto = begin + np.maximum(size - window + 1, 0)
+    if not (upto > begin).any():
         return Run.join([], window), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    span, low = places_of(window), _hashes(loads, n)
-    reach = 1
-    while reach * 2 <= span:
-        low = np.minimum(low[: len(low) - reach], low[reach:])
-        reach *= 2
-    if reach < span:
-        low = np.minimum(low[: len(low) - (span - reach)], low[span - reach :])
-    anchors = (low[places] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    low = _anchors(loads, n, places_of(window))
+    # A suffix begins with a text, and where the anchor changes; it ends before the next, and with the last window of its text.
+    at = np.union1d(np.flatnonzero(low[1:] != low[:-1]) + 1, begin[upto > begin])
+    text = np.searchsorted(begin, at, "right") - 1
+    windows = np.minimum(np.r_[at[1:], n], upto[text]) - at
+    at, windows, text = (x[windows > 0] for x in (at, windows, text))
+    anchors = low[at].astype(np.int64)
     del low
-    first = np.flatnonzero(np.r_[True, (anchors[1:] != anchors[:-1]) | (places[1:] != places[:-1] + 1)])
-    windows = np.diff(np.r_[first, len(places)])
-    at, anchors = places[first], anchors[first]
     heads = _mix(loads[anchors], loads[anchors + 8] * _C[2], _C[3])
     deal = heads
     if hot is not None and len(hot):
         split = np.minimum(np.searchsorted(hot, heads), len(hot) - 1)
         split = hot[split] == heads
         one = _ranges(at[split], windows[split])
-        at, anchors, heads = (np.concatenate([x[~split], y]) for x, y in ((at, one), (anchors, np.repeat(anchors[split], windows[split])), (heads, np.repeat(heads[split], windows[split]))))
+        at, anchors, heads, text = (np.concatenate([x[~split], y]) for x, y in ((at, one), *((x, np.repeat(x[split], windows[split])) for x in (anchors, heads, text))))
         deal = np.concatenate([deal[~split], fingerprints(loads, one, window)])
         windows = np.concatenate([windows[~split], np.ones(len(one), np.int64)])
     home = (deal % np.uint64(shards)).astype(np.int64)
     if groups > 1:
         own = home % groups == group
-        windows, at, anchors, heads, home = windows[own], at[own], anchors[own], heads[own], home[own]
-    text = np.searchsorted(begin, at, "right") - 1
-    lengths = windows + (window - 1)
-    print_ = _mix(_mix(fingerprints(loads, at, window), windows.astype(np.uint64), _C[3]), fingerprints(loads, at + lengths - window, window), _C[2])
-    print_ = _mix(print_, (anchors - at).astype(np.uint64), _C[0])
-    run = Run(docs[text], windows.astype(np.uint8), (anchors - at).astype(np.uint8), np.ones(len(at), np.uint32), (at - begin[text]).astype(np.uint32), _gather(data, at, lengths), window)
-    return run, print_, home, heads
+        windows, at, anchors, heads, home, text = (x[own] for x in (windows, at, anchors, heads, home, text))
+    # Equal suffixes have equal fingerprints; those of others, which are few, are told apart by their bytes.
+    prints = _mix(_mix(heads, loads[at], _C[0]), loads[at + windows + (window - 9)], _C[2]) ^ (windows << 8 | anchors - at).astype(np.uint64)
+    run = Run(docs[text], windows.astype(np.uint8), (anchors - at).astype(np.uint8), np.ones(len(at), np.uint32), at, (at - begin[text]).astype(np.uint32), data, window)
+    return run, prints, home, heads
 
 
 def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -287,7 +299,7 @@ def _same(a: Run, i: np.ndarray, b: Run, j: np.ndarray) -> np.ndarray:
     """Whether suffixes i of a and j of b have the same bytes and the anchor at the same place."""
     same = (a.windows[i] == b.windows[j]) & (a.anchor[i] == b.anchor[j])
     size = a.lengths[i]
-    p, q = _firsts(a.lengths)[i], _firsts(b.lengths)[j]
+    p, q = a.begin[i], b.begin[j]
     if not len(p):
         return same
     left, right = _loads(a.data), _loads(b.data)
@@ -352,7 +364,7 @@ class Copies:
     def _remember(self, found: Run, prints: np.ndarray, lead: np.ndarray) -> None:
         lead = lead[~np.isin(prints[lead], self.prints)][: max(0, REMEMBERED - len(self.prints))]
         if len(lead):
-            both, all_ = Run.join([self.run, found.take(lead, places=False)], found.window), np.concatenate([self.prints, prints[lead]])
+            both, all_ = Run.join([self.run, found.take(lead, places=False).compact()], found.window), np.concatenate([self.prints, prints[lead]])
             order = np.argsort(all_)
             self.prints, self.run = all_[order], both.take(order, places=False)
 
@@ -427,7 +439,7 @@ def scan(new: Run, old: Run, merging: int = 0) -> tuple[tuple[np.ndarray, np.nda
     spans = merged(np.repeat(new.doc[own], times), place + np.repeat(low, times), place + np.repeat(high, times) + (window - 1))
     keep = ~whole
     keep[n : len(keep) - merging] = False
-    return spans, both.take(order[keep[order]], places=False)
+    return spans, both.take(order[keep[order]], places=False).compact()
 
 
 def _pack_spans(spans: tuple[np.ndarray, ...]) -> bytes:
@@ -467,7 +479,7 @@ def batch_runs(docs: DataFrame, shards: int, window: int = WINDOW, hot: np.ndarr
                 if len(stay):
                     home = home[stay]
                     order, _ = suffix_array(len(stay), Strings(rest).after, -(-window // 8), home)
-                    home, rest = home[order], rest.take(order)
+                    home, rest = home[order], rest.take(order).compact()
                     first = np.flatnonzero(np.r_[True, home[1:] != home[:-1]])
                     for s, part in zip(home[first].tolist(), rest.parts(np.r_[first, len(home)]), strict=True):
                         kinds.append("new")
@@ -484,20 +496,26 @@ def hot_heads(docs: DataFrame, window: int = WINDOW, bound: int = SHARD_BYTES //
     Tasks count copies once a block, and each hands on its ``COUNTED`` heads with the most at most.
     """
 
+    def most(heads: np.ndarray, number: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        heads, at = np.unique(heads, return_inverse=True)
+        number = np.bincount(at, number, len(heads)).astype(np.int64)
+        top = np.argsort(-number, kind="stable")[:size]
+        return heads[top], number[top]
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with memory_returned():
-            seen, number = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            seen, number, held = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
             for ids, texts in _blocks(batches, BLOCK_BYTES):
                 _, prints, _, heads = suffixes(texts, ids, window)
-                own = heads[np.unique(prints, return_index=True)[1]]
-                seen, at = np.unique(np.concatenate([seen, own]), return_inverse=True)
-                number = np.bincount(at, np.concatenate([number, np.ones(len(own), np.int64)]), len(seen)).astype(np.int64)
-                if len(seen) > 4 * COUNTED:
-                    most = np.sort(np.argpartition(-number, COUNTED)[:COUNTED])
-                    seen, number = seen[most], number[most]
-            most = np.argsort(-number, kind="stable")[:COUNTED]
-            most = most[number[most] > 1]
-            yield pa.RecordBatch.from_arrays([pa.array(seen[most].view(np.int64)), pa.array(number[most])], ["head", "n"])
+                own, times = np.unique(heads[np.unique(prints, return_index=True)[1]], return_counts=True)
+                seen.append(own)
+                number.append(times)
+                held += len(own)
+                if held > 20 * COUNTED:
+                    held = 0
+                    seen, number = ([x] for x in most(np.concatenate(seen), np.concatenate(number), COUNTED))
+            heads, times = most(np.concatenate(seen), np.concatenate(number), COUNTED)
+            yield pa.RecordBatch.from_arrays([pa.array(heads[times > 1].view(np.int64)), pa.array(times[times > 1])], ["head", "n"])
 
     found = docs.mapInArrow(run, "head long, n long").groupBy("head").agg(F.sum("n").alias("n")).where(F.col("n") * (2 * window - GRAM) > bound)
     return np.sort(np.array([r.head for r in found.select("head").toLocalIterator()], np.int64).view(np.uint64))
@@ -603,10 +621,11 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cuts = sorted(set(rows.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01))) if batches > 1 else []
     edges = [None, *map(int, cuts), None]
     spans: list[DataFrame] = []
+    work = Workspace(spark, "suffix")
     with prepared(spark):
         hot = hot_heads(rows, window)
         for group in range(GROUPS):
-            index = SuffixIndex(spark, shards, window, hot, group, GROUPS)
+            index = SuffixIndex(spark, shards, window, hot, group, GROUPS, work)
             for low, high in zip(edges[:-1], edges[1:], strict=True):
                 part = rows
                 part = part if low is None else part.where(F.col("doc_id") > low)
@@ -614,7 +633,9 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 index.add(part, last=high is None)
             index.close()
             spans += index.spans
-        return Workspace(spark, "spans").keep(unpacked(spans).groupBy("doc_id").agg(F.collect_list("spans").alias("spans")))
+        out, path = work.write(unpacked(spans).groupBy("doc_id").agg(F.collect_list("spans").alias("spans")))
+    work.clear(path)
+    return out
 
 
 def _cut(text: bytes, parts: list[bytes] | None) -> tuple[bytes, int, int]:

@@ -81,6 +81,46 @@ def test_minhash(spark, monkeypatch):
     assert minhash.classify(rows.limit(0)).count() == 0
 
 
+def test_minhash_of_rows_that_share_an_id(spark, monkeypatch):
+    """Their texts are one document; of them the first stays; columns may have any names."""
+    monkeypatch.setattr(minhash, "LARGE", 2)
+    rnd = random.Random(21)
+    a, b, c = (words(rnd, 60) for _ in range(3))
+    near = [*b[:30], "other", *b[31:]]
+    texts = [(5, a), (5, b), (9, near), (2, c), (7, c), (8, c), (12, a), (20, words(rnd, 40))]
+    rows = spark.createDataFrame([(i, " ".join(t), "x", "y", "z", "q") for i, t in texts] + [(2, None, "x", "y", "z", "q")], "doc_id long, text string, _stays string, id string, rows string, row string")
+    assert {r.doc_id: r.class_id for r in minhash.classify(rows).collect()} == {5: 5, 9: 5, 12: 5, 2: 2, 7: 2, 8: 2, 20: 20}
+    kept = minhash.remove(rows)
+    assert kept.columns == rows.columns
+    assert sorted((r.doc_id, r.text) for r in kept.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).collect()) == sorted([(5, min(" ".join(a), " ".join(b))), (2, ""), (20, " ".join(texts[-1][1]))])
+
+
+@pytest.mark.parametrize("block", [4, 1500])
+def test_minhash_with_weights(spark, monkeypatch, block):
+    """With counts as weights, links are those of the weighted similarity."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    rnd = random.Random(23)
+    texts = {}
+    for g in range(10):
+        base, times = words(rnd, rnd.randint(10, 40)), rnd.randint(1, 4)
+        for _ in range(6):
+            w = base * times + words(rnd, 5) + (base if rnd.random() < 0.5 else [])
+            if rnd.random() < 0.5:
+                w[rnd.randrange(len(w))] = "edit"
+            texts[len(texts)] = " ".join(w)
+    sets = {i: minhash.shingles(t) for i, t in texts.items()}
+    counts = {i: dict(zip(s[0].tolist(), s[1].tolist(), strict=True)) for i, s in sets.items()}
+
+    def like(a, b):
+        keys = set(a) | set(b)
+        return sum(min(a.get(k, 0), b.get(k, 0)) for k in keys) / sum(max(a.get(k, 0), b.get(k, 0)) for k in keys)
+
+    want = union(texts, [(i, j) for i in texts for j in texts if i < j and like(counts[i], counts[j]) >= 0.8])
+    assert want != brute_classes(texts)
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.id: r.class_id for r in minhash.near_classes(rows, weighted=True).collect()} == want
+
+
 def test_minhash_finds_chains_past_the_stars(spark, monkeypatch):
     """With no round of stars, the exact comparison of what is left finds every link."""
     monkeypatch.setattr(minhash, "ROUNDS", 1)
@@ -151,7 +191,7 @@ def test_common_prefixes_are_those_of_the_bytes(window):
     texts = [(t or "").encode() for t in repeat_corpus().values()]
     run, *_ = suffix_dedup.suffixes(texts, np.arange(len(texts)), window)
     strings = suffix_dedup.Strings(run)
-    begin = np.cumsum(run.lengths) - run.lengths
+    begin = run.begin
     own = [bytes(run.data[b + a : b + n]).ljust(window, b"\0") for b, a, n in zip(begin, run.anchor, run.lengths, strict=True)]
     order, common = suffix_dedup.suffix_array(len(own), strings.after, -(-window // 8))
     ordered = [own[i] for i in order]
