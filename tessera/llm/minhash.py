@@ -16,8 +16,9 @@ passed over, while groups of copies cost one comparison a member.
 
 Defined results: texts with fewer words than a shingle are one element, those without words are all
 equal; a null text counts as empty; rows with a null id are their own class (null) and stay; rows
-that share an id are one document; an empty table gives an empty result; of several equal or near
-documents the one with the smallest id stays.
+that share an id are one document, linked to what any of them is like; an empty table gives an empty result; of
+several equal or near documents the one with the smallest id stays, and of rows that share it the one whose text
+(null as empty), then whose columns as JSON, come first; other columns may have any names.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Workspace, memory_returned, slices, text_of
+from .common import Workspace, memory_returned, row_of, slices, text_of
 from .components import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -40,6 +41,8 @@ BANDS, ROWS = 24, 5
 #: Share of equal coordinates below which a pair is not checked in the last round; one of similarity 0.8 has less with probability 3e-5.
 NEAR = 0.65
 ROUNDS, BLOCK = 2, 1500
+#: Copies from which a group of equal texts is large, and large groups that are broadcast at most (32 bytes each).
+LARGE, MAX_LARGE = 500, 100_000
 #: Words whose hashes a worker remembers.
 CACHE_WORDS = 400_000
 _A, _B, _C, _D = (np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
@@ -194,67 +197,99 @@ def verify(pairs: DataFrame, docs: DataFrame, threshold: float, weighted: bool =
     return pairs.join(right, "v").join(left, "u").select("u", "v", "tu", "tv").mapInArrow(run, schema)
 
 
-def _leftover_links(rest: DataFrame, texts: DataFrame, threshold: float, weighted: bool, k: int) -> DataFrame:
-    """Links (u, v) between different classes in common buckets, as stars: each text to the least that it leads to there.
+class _Block:
+    """Members of a bucket that are compared with one another: those of part i with those of part j."""
+
+    def __init__(self, group: pa.Table, k: int, threshold: float) -> None:
+        self.key, self.i, self.j = (group.column(c)[0].as_py() for c in ("key", "i", "j"))
+        self.own, self.ids, self.classes, self.n = (group.column(c).to_numpy() for c in ("own", "id", "component", "n"))
+        self.sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), "<u2").reshape(len(self.ids), k)
+        self.bands = np.array(group.column("bands").to_pylist(), np.int64)
+        self.threshold = threshold
+
+    def pairs(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Each member of part i with those that it has to be compared with on the texts: of another class (as ``classes`` is then), alike by signature, and in no earlier common bucket."""
+        ids, n, sig, bands = self.ids, self.n, self.sig, self.bands
+        second = np.flatnonzero(self.own == self.j)
+        for x in np.flatnonzero(self.own == self.i):
+            y = second[(self.classes[second] != self.classes[x]) & (ids[second] != ids[x])]
+            y = y[np.minimum(n[y], n[x]) >= self.threshold * np.maximum(n[y], n[x])]
+            if self.i == self.j:
+                y = y[ids[y] > ids[x]]
+            y = y[(sig[y] == sig[x]).mean(1) >= NEAR] if len(y) else y
+            if len(y):
+                y = y[bands[x][np.argmax(bands[y] == bands[x], 1)] == self.key]
+            if len(y):
+                yield int(x), y
+
+
+def _leftover_links(rest: DataFrame, texts: DataFrame, threshold: float, weighted: bool, work: Workspace, k: int) -> DataFrame:
+    """Links (u, v) between different classes in common buckets.
 
     ``rest``: key, id, component, n, sig, bands. Buckets are cut into blocks, and blocks are compared two by two,
-    a pair only in its first common bucket. Texts go to their buckets, so that no pair is written.
+    a pair only in its first common bucket: first by signature, which leaves the few members that are like some
+    other; only these get their texts, in their blocks, so that neither pairs nor other texts are written.
     """
     sizes = rest.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    rows = rest.join(texts, "id").join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rest.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "n", "sig", "bands", "text")
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "n", "sig", "bands")
+
+    def alike(group: pa.Table) -> pa.Table:
+        some = np.zeros(group.num_rows, bool)
+        for x, y in _Block(group, k, threshold).pairs():
+            some[x] = True
+            some[y] = True
+        return group.filter(pa.array(some))
 
     def run(group: pa.Table) -> pa.Table:
-        key, i, j = (group.column(c)[0].as_py() for c in ("key", "i", "j"))
-        own = group.column("own").to_numpy()
-        ids, classes, n = (group.column(c).to_numpy() for c in ("id", "component", "n"))
-        sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), "<u2").reshape(len(ids), k)
-        bands = np.array(group.column("bands").to_pylist(), np.int64)
-        texts_ = group.column("text")
+        block, texts_ = _Block(group, k, threshold), group.column("text")
         sets: dict[int, tuple] = {}
         us, vs = [], []
-        second = np.flatnonzero(own == j)
-        for x in np.flatnonzero(own == i):
-            y = second[(classes[second] != classes[x]) & (ids[second] != ids[x])]
-            y = y[(np.minimum(n[y], n[x]) >= threshold * np.maximum(n[y], n[x]))]
-            if i == j:
-                y = y[ids[y] > ids[x]]
-            y = y[(sig[y] == sig[x]).mean(1) >= NEAR] if len(y) else y
-            if len(y):
-                y = y[bands[x][np.argmax(bands[y] == bands[x], 1)] == key]
-            for z in y.tolist():
-                for p in (int(x), z):
+        for x, found in block.pairs():
+            for z in found.tolist():
+                classes = block.classes
+                if classes[z] == classes[x]:
+                    continue
+                for p in (x, z):
                     if p not in sets:
                         sets[p] = shingles(texts_[p].as_py())
-                if classes[z] != classes[x] and similarity(sets[int(x)], sets[z], weighted) >= threshold:
-                    us.append(int(ids[x]))
-                    vs.append(int(ids[z]))
+                if similarity(sets[x], sets[z], weighted) >= threshold:
+                    us.append(int(block.ids[x]))
+                    vs.append(int(block.ids[z]))
                     # From here on they are one class in this group, and need no more comparisons.
-                    classes = np.where(classes == classes[z], classes[x], classes)
+                    block.classes = np.where(classes == classes[z], classes[x], classes)
         _hash_of.clear()
         return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
-    return rows.groupBy("key", "i", "j").applyInArrow(run, "u long, v long")
+    near = work.keep(rows.groupBy("key", "i", "j").applyInArrow(alike, rows.schema))
+    return near.join(texts, "id").groupBy("key", "i", "j").applyInArrow(run, "u long, v long")
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, weighted: bool = False) -> DataFrame:
-    """One row per id (not null) of ``docs``: its id and ``class_id``, the smallest id that links lead to."""
+    """One row per id (not null) of ``docs``: its id, ``class_id``, the smallest id that links lead to, and its number of ``rows``."""
     spark = docs.sparkSession
     work = Workspace(spark, "minhash")
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     all_ = work.keep(sketch(texts, weighted))
     equal = ["fa", "fb", "n"]
-    firsts = all_.groupBy(*equal).agg(F.min("id").alias("rep"))
-    member = work.keep(all_.select("id", *equal).join(firsts, equal).groupBy("id").agg(F.min("rep").alias("rep")))
-    reps = all_.join(firsts.select("rep"), F.col("id") == F.col("rep"), "left_semi").dropDuplicates(["id"])
+    firsts = work.keep(all_.groupBy(*equal).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")))
+    # Large groups of equal texts are looked up in a broadcast table (bounded), so that none of them lands in one task.
+    large = firsts.where(F.col("copies") >= LARGE).orderBy(F.desc("copies"), *equal).limit(MAX_LARGE).select(*equal, F.col("rep").alias("known"))
+    large = work.keep(large)
+    named = all_.select("id", *equal).join(F.broadcast(large), equal, "left")
+    others = named.where("known IS NULL").join(firsts.join(F.broadcast(large), equal, "left_anti"), equal).select("id", "rep")
+    named = work.keep(others.unionAll(named.where("known IS NOT NULL").select("id", F.col("known").alias("rep"))))
+    member = work.keep(named.groupBy("id").agg(F.min("rep").alias("rep"), F.max("rep").alias("other"), F.count(F.lit(1)).alias("rows")))
+    # The texts of rows that share an id belong together.
+    found = work.keep(named.join(member.where("rep < other").select("id", F.col("rep").alias("v")), "id").where("rep <> v").select(F.col("rep").alias("u"), "v"))
+    reps = all_.join(firsts.select("rep"), F.col("id") == F.col("rep"), "left_semi").dropDuplicates(["id", *equal])
     bucket = reps.select("id", "n", F.explode("bands").alias("key"))
     shared = bucket.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     bucket = work.keep(bucket.join(shared, "key"))
     # Texts that share buckets with most others are compared with first: what a group of edited copies comes from.
     central = bucket.groupBy("id").agg(F.sum("members").alias("central"))
     bucket = work.keep(bucket.join(central, "id").select("id", "n", "key", "central"))
-    found: DataFrame | None = None
     classes = bucket.select(F.col("id").alias("node"), F.col("id").alias("component")).distinct()
     for r in range(ROUNDS):
         first = F.struct((F.xxhash64("id", F.lit(r)) if r else -F.col("central")).alias("p"), F.col("id").alias("id"), F.col("n").alias("n"))
@@ -266,16 +301,19 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             a, b = classes.toDF("u", "cu"), classes.toDF("v", "cv")
             pairs = pairs.join(a, "u").join(b, "v").where("cu <> cv").select("u", "v")
         links = work.keep(verify(work.keep(pairs), texts, threshold, weighted))
-        found = links if found is None else found.unionAll(links)
+        found = found.unionAll(links)
         joined = components(found, work)
         classes = work.keep(bucket.select(F.col("id").alias("node")).distinct().join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
     labelled = bucket.join(classes, F.col("id") == F.col("node")).select("key", "id", "n", "component")
     several = labelled.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key")
     rest = work.keep(labelled.join(several, "key", "left_semi"))
-    rest = rest.join(all_.select("id", "sig", "bands").dropDuplicates(["id"]), "id")
-    links = work.keep(_leftover_links(rest, texts.join(rest.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), threshold, weighted, BANDS * ROWS))
+    rest = rest.join(all_.dropDuplicates(["id", *equal]).select("id", "sig", "bands"), "id")
+    links = work.keep(_leftover_links(rest, texts, threshold, weighted, work, BANDS * ROWS))
     joined = work.keep(components(found.unionAll(links), work))
-    return member.join(joined, F.col("rep") == F.col("node"), "left").select("id", F.coalesce("component", "rep").alias("class_id"))
+    out = member.join(joined, F.col("rep") == F.col("node"), "left").select("id", F.coalesce("component", "rep").alias("class_id"), "rows")
+    out, path = work.write(out)
+    work.clear(path)
+    return out
 
 
 def classify(docs: DataFrame) -> DataFrame:
@@ -286,6 +324,9 @@ def classify(docs: DataFrame) -> DataFrame:
 
 def remove(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay: one of each class, and those with a null id; columns as they are."""
-    stay = near_classes(docs).where("id = class_id").select(F.col("id").alias("_stays"))
-    kept = docs.join(stay, F.col("doc_id").cast("long") == F.col("_stays"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionAll(docs.where("doc_id IS NULL"))
+    stay = near_classes(docs).where("id = class_id")
+    rows = docs.select(row_of(docs.columns), F.col("doc_id").cast("long").alias("id"))
+    single = rows.join(stay.where("rows = 1").select("id"), "id", "left_semi")
+    several = rows.join(stay.where("rows > 1").select("id"), "id", "left_semi")
+    first = several.groupBy("id").agg(F.min_by("row", F.struct(F.coalesce(F.col("row.text").cast("string"), F.lit("")), F.to_json("row"))).alias("row"))
+    return single.select("row").unionAll(first.select("row")).unionAll(rows.where("id IS NULL").select("row")).select("row.*")
