@@ -70,7 +70,10 @@ def sequence(start: Column | int, end: Column | int) -> Column:
 
 def to_columnar(a: Column, fields: list[str]) -> Column:
     """An array of structs as a struct of arrays."""
-    return F.struct(*[F.transform(a, lambda x, f=f: x[f]).alias(f) for f in fields])
+    def field(name: str) -> Column:
+        return F.transform(a, lambda x: x[name]).alias(name)
+
+    return F.struct(*[field(f) for f in fields])
 
 
 def from_columnar(columns: dict[str, Column]) -> Column:
@@ -129,15 +132,29 @@ def fold(a: Column, start: Column, f: Callable[[Column, Column], Column]) -> Col
     return F.aggregate(a, start, f)
 
 
+#: Items that ``scan`` gathers before it appends them to its result, so that long arrays are not copied at every item.
+CHUNK = 64
+
+
+def bound(x: Column, f: Lambda) -> Column:
+    """``f`` of a value that is computed once."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def scan(a: Column, start: Column, f: Callable[[Column, Column], Column], kind: T.DataType) -> Column:
     """The accumulators after each item, without the start."""
-    begin = F.struct(start.cast(kind).alias("acc"), F.array().cast(T.ArrayType(kind)).alias("out"))
+    none = F.array().cast(T.ArrayType(kind))
+    begin = F.struct(start.cast(kind).alias("acc"), none.alias("part"), F.array().cast(T.ArrayType(T.ArrayType(kind))).alias("out"))
 
     def step(s: Column, x: Column) -> Column:
-        new = f(s["acc"], x).cast(kind)
-        return F.struct(new.alias("acc"), F.concat(s["out"], F.array(new)).alias("out"))
+        def moved(new: Column) -> Column:
+            part = F.concat(s["part"], F.array(new))
+            full = F.size(s["part"]) >= CHUNK - 1
+            return F.struct(new.alias("acc"), F.when(full, none).otherwise(part).alias("part"), F.when(full, F.concat(s["out"], F.array(part))).otherwise(s["out"]).alias("out"))
 
-    return F.aggregate(a, begin, step, lambda s: s["out"])
+        return bound(f(s["acc"], x).cast(kind), moved)
+
+    return F.aggregate(a, begin, step, lambda s: F.concat(F.flatten(s["out"]), s["part"]))
 
 
 def lag(a: Column, n: int, kind: T.DataType) -> Column:
@@ -153,21 +170,37 @@ def rolling_mean(a: Column, preceding: int, following: int) -> Column:
     return F.transform(a, lambda _, i: mean(slice_(a, F.greatest(i - preceding, F.lit(0)), i + following + 1)))
 
 
+def _ranked(a: Column, down: bool = False) -> Column:
+    """For each item its rank and dense rank (none first): one sort, one pass over neighbours, one sort back."""
+    keyed = F.array_sort(F.transform(a, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
+    keyed = F.reverse(keyed) if down else keyed
+    # Whether an item differs from the one before it in the order.
+    steps = F.transform(keyed, lambda s, p: F.struct(s["i"].alias("i"), ((p == 0) | ~F.get(keyed, p - 1)["x"].eqNullSafe(s["x"])).alias("new")))
+    state = T.StructType([T.StructField(n, T.IntegerType()) for n in ("place", "rank", "dense", "i")])
+    start = F.struct(*[F.lit(0).alias(n) for n in state.names])
+
+    def step(acc: Column, s: Column) -> Column:
+        place = acc["place"] + 1
+        return F.struct(place.alias("place"), F.when(s["new"], place).otherwise(acc["rank"]).alias("rank"), (acc["dense"] + s["new"].cast("int")).alias("dense"), s["i"].alias("i"))
+
+    return F.array_sort(F.transform(scan(steps, start, step, state), lambda s: F.struct(s["i"].alias("i"), s["rank"].alias("rank"), s["dense"].alias("dense"))))
+
+
 def rank(a: Column) -> Column:
-    return F.transform(a, lambda x: (F.size(F.filter(a, lambda y: y < x)) + 1).cast("int"))
+    return F.transform(_ranked(a), lambda s: s["rank"])
 
 
 def rank_dense(a: Column) -> Column:
-    return F.transform(a, lambda x: (F.size(F.array_distinct(F.filter(a, lambda y: y < x))) + 1).cast("int"))
+    return F.transform(_ranked(a), lambda s: s["dense"])
 
 
 def rank_percentile(a: Column) -> Column:
     """(rank - 1) / (items - 1); 0 for a single item."""
-    return F.transform(a, lambda x: F.size(F.filter(a, lambda y: y < x)) / F.greatest(F.size(a) - 1, F.lit(1)))
+    return F.transform(_ranked(a), lambda s: (s["rank"] - 1) / F.greatest(F.size(a) - 1, F.lit(1)))
 
 
 def cume_dist(a: Column) -> Column:
-    return F.transform(a, lambda x: F.size(F.filter(a, lambda y: y <= x)) / F.size(a))
+    return F.transform(_ranked(a, down=True), lambda s: (F.size(a) - s["rank"] + 1) / F.size(a))
 
 
 def group(a: Column, key: Lambda) -> Column:

@@ -28,8 +28,8 @@ def div(a: Column, b: Column, kind: Scalar) -> Column:
     """True division of floats; of integers, truncated toward zero and of the operands' type."""
     if kind in (Float32, Float64):
         return (a / b).cast(kind.spark)
-    if kind.bits == 64 and not kind.signed:
-        return F.floor(a / b).cast(kind.spark)
+    if kind.bits == 64 and not kind.signed:  # a decimal quotient is rounded, unless it is whole
+        return ((a - a % b) / b).cast(kind.spark)
     return _infix("div", a, b).cast(kind.spark)
 
 

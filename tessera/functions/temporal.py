@@ -1,6 +1,6 @@
 """Dates, timestamps without zone, times of day (microseconds), durations and decimals of scale 2.
 
-A local time that a zone skips or repeats is resolved by Spark's own rule, not refused.
+A local time that a zone skips or repeats is resolved by Spark's own rule, or refused where ``strict`` is asked for.
 """
 
 from __future__ import annotations
@@ -42,9 +42,19 @@ def date_sub(a: Column, b: Column) -> Column:
     return a - b
 
 
-def date_to_timestamp(d: Column, tz: str) -> Column:
-    """The instant (UTC) of local midnight."""
-    return F.to_utc_timestamp(d.cast("timestamp"), tz).cast("timestamp_ntz")
+def date_to_timestamp(d: Column, tz: str, strict: bool = False) -> Column:
+    """The instant (UTC) of local midnight; ``strict``: an error where the zone has no such time, or has it twice."""
+    local = d.cast("timestamp")
+    utc = F.to_utc_timestamp(local, tz)
+    if strict:
+        # Clocks move by half an hour to a day; a repeated time is another instant's too, and a skipped one is none's.
+        moved = [F.from_utc_timestamp(utc + F.expr(f"INTERVAL '{sign}{m}' MINUTE"), tz) == local for m in (30, 60, 120, 1440) for sign in ("", "-")]
+        twice = moved[0]
+        for m in moved[1:]:
+            twice = twice | m
+        message = F.concat(F.lit("no single instant of local midnight in this zone: "), d.cast("string"))
+        utc = F.when((F.from_utc_timestamp(utc, tz) != local) | twice, F.raise_error(message).cast("timestamp")).otherwise(utc)
+    return utc.cast("timestamp_ntz")
 
 
 def year_month_day(d: Column) -> Column:

@@ -1,20 +1,21 @@
 """Positions, ranks and running totals over a whole relation without one task that sees all rows.
 
-Small inputs (by the optimizer's estimate) take a plain window. Others are cut into ranges of the first
-sort key; each range is numbered by itself, and the ranges' totals, at most ``RANGES`` + 1 rows, are
-added. Rows with equal keys are always in one range, so ranks need nothing more; range starts come
-from approximate quantiles, which only decide how even the ranges are.
+Small inputs (by the optimizer's estimate) take a plain window. Others are cut into ranges of the whole
+order; each range is numbered by itself, and the ranges' totals, one row for each ``RANGE_BYTES`` of the
+input (``RANGES`` at least), are added. Ranks are found for distinct keys, which rows look up.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-#: Estimated bytes up to which one window without partitions is used; ranges that larger inputs are cut into.
-SMALL_BYTES, RANGES = 16 << 20, 256
-_QUANTILES = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
+from ..sources.staging import written
+
+#: An estimate from which nothing is known of the size; then, rows that are few.
+UNKNOWN, SMALL_ROWS = 1 << 56, 10_000
+#: Estimated bytes up to which one window without partitions is used; ranges that larger inputs are cut into at least, and their size.
+SMALL_BYTES, RANGES, RANGE_BYTES = 16 << 20, 256, 256 << 20
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -22,22 +23,22 @@ def estimated_bytes(df: DataFrame) -> int:
 
 
 def is_small(df: DataFrame) -> bool:
-    return estimated_bytes(df) <= SMALL_BYTES
+    size = estimated_bytes(df)
+    if size >= UNKNOWN:
+        return len(df.select(F.lit(1)).take(SMALL_ROWS + 1)) <= SMALL_ROWS
+    return size <= SMALL_BYTES
+
 
+def in_ranges(df: DataFrame, order: list[str], ranges: int | None = None) -> DataFrame:
+    """``df``, written, with ``__r``, the range of each row by the whole order, and ``__t``, which decides among rows that are equal in it.
 
-def range_of(df: DataFrame, key: str, ranges: int = RANGES) -> Column:
-    """The range of each row by its key; nulls are in the first."""
-    kind = df.schema[key].dataType
-    cuts = [i / ranges for i in range(1, ranges)]
-    if isinstance(kind, _QUANTILES):
-        found = df.agg(F.percentile_approx(key, cuts, 10 * ranges)).first()[0] or []
-    else:
-        rows = [r[0] for r in df.select(key).where(F.col(key).isNotNull()).orderBy(F.rand(7)).limit(20 * ranges).orderBy(key).collect()]
-        found = [rows[int(c * len(rows))] for c in cuts] if rows else []
-    starts = list(dict.fromkeys(found))
-    if not starts:
-        return F.lit(0)
-    return F.when(F.col(key).isNull(), 0).otherwise(F.size(F.filter(F.array(*[F.lit(x).cast(kind) for x in starts]), lambda s: s <= F.col(key))))
+    Spark samples the keys and cuts them into ranges of about equal size; a frequent first key, or even a constant
+    one, is parted by the others and by ``__t``.
+    """
+    size = estimated_bytes(df)
+    number = ranges or max(RANGES, 0 if size >= UNKNOWN else size // RANGE_BYTES)
+    placed = df.withColumn("__t", F.monotonically_increasing_id())
+    return written(placed.repartitionByRange(number, *[F.col(o).asc_nulls_first() for o in [*order, "__t"]]).withColumn("__r", F.spark_partition_id()))
 
 
 def _before(df: DataFrame, *totals: Column) -> DataFrame:
@@ -54,10 +55,10 @@ def with_index(df: DataFrame, order: list[str], name: str = "__idx", small: bool
     by = [F.col(o).asc_nulls_first() for o in order]
     if is_small(df) if small is None else small:
         return df.withColumn(name, F.row_number().over(Window.orderBy(*by)).cast("long") - 1)
-    cut = df.withColumn("__r", range_of(df, order[0]))
+    cut = in_ranges(df, order)
     totals = _before(cut, F.count(F.lit(1)).alias("__n"))
-    own = F.row_number().over(Window.partitionBy("__r").orderBy(*by)).cast("long") - 1
-    return cut.withColumn("__own", own).join(F.broadcast(totals), "__r").withColumn(name, F.col("__own") + F.col("__n_before")).drop("__r", "__own", "__n_before", "__n_all")
+    own = F.row_number().over(Window.partitionBy("__r").orderBy(*by, "__t")).cast("long") - 1
+    return cut.withColumn("__own", own).join(F.broadcast(totals), "__r").withColumn(name, F.col("__own") + F.col("__n_before")).drop("__r", "__t", "__own", "__n_before", "__n_all")
 
 
 def with_ranks(df: DataFrame, key: str, names: dict[str, str], small: bool | None = None) -> DataFrame:
@@ -70,19 +71,18 @@ def with_ranks(df: DataFrame, key: str, names: dict[str, str], small: bool | Non
             out = plain[kind]().over(w)
             df = df.withColumn(name, out.cast("int") if kind in ("rank", "rank_dense") else out)
         return df
-    cut = df.withColumn("__r", range_of(df, key))
-    totals = _before(cut, F.count(F.lit(1)).alias("__n"), (F.count_distinct(key) + F.max(F.col(key).isNull().cast("int"))).alias("__d"))
-    w = Window.partitionBy("__r").orderBy(by)
-    upto = w.rangeBetween(Window.unboundedPreceding, 0)
-    cut = cut.withColumn("__rank", F.rank().over(w)).withColumn("__dense", F.dense_rank().over(w)).withColumn("__upto", F.count(F.lit(1)).over(upto)).join(F.broadcast(totals), "__r")
-    rank = F.col("__rank") + F.col("__n_before")
+    # Ranks are of distinct keys, counted before anything is shuffled; rows only look them up.
+    counts = df.groupBy(F.col(key).alias("__k")).agg(F.count(F.lit(1)).alias("__n"))
+    counts = with_running_sum(with_index(counts, ["__k"], "__dense", small=False), ["__k"], F.col("__n"), "__upto", small=False)
+    n = df.count()
+    rank = F.col("__upto") - F.col("__n") + 1
     found = {
         "rank": rank.cast("int"),
-        "rank_dense": (F.col("__dense") + F.col("__d_before")).cast("int"),
-        "rank_percentile": F.when(F.col("__n_all") > 1, (rank - 1) / F.greatest(F.col("__n_all") - 1, F.lit(1))).otherwise(F.lit(0.0)),
-        "cume_dist": (F.col("__upto") + F.col("__n_before")) / F.col("__n_all"),
+        "rank_dense": (F.col("__dense") + 1).cast("int"),
+        "rank_percentile": (rank - 1) / F.lit(max(n - 1, 1)),
+        "cume_dist": F.col("__upto") / F.lit(max(n, 1)),
     }
-    return cut.select(*df.columns, *[found[k].alias(n) for k, n in names.items()])
+    return df.join(counts, F.col(key).eqNullSafe(F.col("__k"))).select(*df.columns, *[found[k].alias(n) for k, n in names.items()])
 
 
 def with_running_sum(df: DataFrame, order: list[str], value: Column, name: str, small: bool | None = None) -> DataFrame:
@@ -90,10 +90,10 @@ def with_running_sum(df: DataFrame, order: list[str], value: Column, name: str,
     by = [F.col(o).asc_nulls_first() for o in order]
     if is_small(df) if small is None else small:
         return df.withColumn(name, F.sum(value).over(Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)))
-    cut = df.withColumn("__v", value).withColumn("__r", range_of(df, order[0]))
+    cut = in_ranges(df.withColumn("__v", value), order)
     totals = _before(cut, F.sum("__v").alias("__s"))
-    own = F.sum("__v").over(Window.partitionBy("__r").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0))
-    return cut.withColumn("__own", own).join(F.broadcast(totals), "__r").withColumn(name, F.col("__own") + F.col("__s_before")).drop("__v", "__r", "__own", "__s_before", "__s_all")
+    own = F.sum("__v").over(Window.partitionBy("__r").orderBy(*by, "__t").rowsBetween(Window.unboundedPreceding, 0))
+    return cut.withColumn("__own", own).join(F.broadcast(totals), "__r").withColumn(name, F.col("__own") + F.col("__s_before")).drop("__v", "__r", "__t", "__own", "__s_before", "__s_all")
 
 
 def over_frame(df: DataFrame, order: list[str], reach: int, columns: dict[str, object], small: bool | None = None, block: int = 1 << 16) -> DataFrame:

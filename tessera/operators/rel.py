@@ -102,6 +102,10 @@ class Rel:
         df = self.df.orderBy(*[F.col(o).asc_nulls_first() for o in self.order]) if ordered and self.order else self.df
         return df.select(*[F.col(f"`{c}`") for c in self.columns])
 
+    def let(self) -> Rel:
+        """These rows, evaluated once: a written table that every use reads."""
+        return Rel(written(self.df), self.order)
+
     # Projection, filter, order
 
     def map(self, f: Callable[[Fields], Column | dict[str, Column]]) -> Rel:

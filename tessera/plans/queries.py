@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import arrays, convert, math, ops, option, temporal, text
+from ..functions import arrays, convert, host, math, ops, option, temporal, text
 from ..functions import types as K
 from ..functions.enums import Enum
 from ..operators.rel import Rel
@@ -305,23 +305,12 @@ def sequence_nested(spark, d):
     return Rel(rows.df.select("n_nationkey", F.explode("xs").alias("i"))).frame()
 
 
-@query("""
-WITH RECURSIVE g AS (SELECT s_suppkey AS id, CAST(0 AS INTEGER) AS depth FROM supplier WHERE s_suppkey % 17 = 0
-UNION ALL SELECT id // 2, depth + 1 FROM g WHERE id // 2 > 0) SELECT id, depth FROM g
-""")
-def loop_until_empty(spark, d):
-    """Generations of a hierarchy (each id's parent is its half) until none is left."""
-    start = Rel(load(spark, d, "supplier")).filter(lambda r: r.s_suppkey % 17 == 0).map(lambda r: {"id": r.s_suppkey, "depth": F.lit(0)})
-    up = lambda g: g.map(lambda r: {"id": F.floor(r.id / 2), "depth": r.depth + 1}).filter(lambda r: r.id > 0)
-    return start.loop_until_empty(up).frame()
-
-
 @query("""
 WITH RECURSIVE g AS (SELECT s_suppkey AS id, CAST(0 AS INTEGER) AS depth FROM supplier
 UNION ALL SELECT id // 2, depth + 1 FROM g WHERE id // 2 > 0) SELECT id, depth FROM g
 """)
-def loop_until_empty_all(spark, d):
-    """The generations of every supplier, by whole division."""
+def loop_until_empty(spark, d):
+    """Generations of a hierarchy (each id's parent is its half) from every supplier, until none is left."""
     start = Rel(load(spark, d, "supplier")).map(lambda r: {"id": r.s_suppkey, "depth": F.lit(0)})
     up = lambda g: g.map(lambda r: {"id": ops.div(r.id, F.lit(2), K.Int64), "depth": r.depth + 1}).filter(lambda r: r.id > 0)
     return start.loop_until_empty(up).frame()
@@ -485,7 +474,7 @@ def nested_windows(spark, d):
     return rows.map(lambda r: {"n_regionkey": r.n_regionkey, "before": text.join(arrays.map_(arrays.lag(r.a, 1, T.IntegerType()), lambda x: x.cast("string")), ","), "folded": arrays.index(scan(r.a), F.size(r.a) - 1), "top": arrays.max_(arrays.rank(r.a))}).frame()
 
 
-@query("SELECT n_nationkey, n_name FROM nation WHERE n_regionkey < 3")
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def parquet_roundtrip(spark, d):
     files = tables.Files(spark, f"{shared_dir(spark)}/{uuid.uuid4().hex}")
     nation = load(spark, d, "nation")
@@ -493,7 +482,7 @@ def parquet_roundtrip(spark, d):
     back = files.read_parquet("out/nation")
     if back.df.schema != nation.schema or not nation.exceptAll(back.df).isEmpty() or not back.df.exceptAll(nation).isEmpty():
         raise RuntimeError("the rows read back are not the rows written")
-    return back.filter(lambda r: r.n_regionkey < 3).map(lambda r: {"n_nationkey": r.n_nationkey, "n_name": r.n_name}).frame()
+    return back.frame()
 
 
 @query("SELECT * FROM (VALUES ('n_nationkey', 'Int32'), ('n_name', 'Text'), ('n_regionkey', 'Int32'), ('gap', 'Int32?')) t(name, kind)")
@@ -536,9 +525,9 @@ def raw_sql(spark, d):
     return tables.raw(spark, "SELECT r_regionkey, upper(r_name) FROM tessera_region WHERE r_regionkey >= :low", "k long, name string", low=2).frame()
 
 
-@query("SELECT * FROM (VALUES (3, 'Hello world!', 0), (5, 'Foo', 1)) t(id, title, place)")
+@query("SELECT * FROM (VALUES (11, 'Lime kiln', 0), (4, 'Weir', 1), (7, '', 2)) t(id, title, place)")
 def literal_rows(spark, d):
-    return Rel.literal(spark, [(3, "Hello world!"), (5, "Foo")], "id int, title string").with_index("place").map(lambda r: {"id": r.id, "title": r.title, "place": r.place.cast("int")}).frame()
+    return Rel.literal(spark, [(11, "Lime kiln"), (4, "Weir"), (7, "")], "id int, title string").with_index("place").map(lambda r: {"id": r.id, "title": r.title, "place": r.place.cast("int")}).frame()
 
 
 @query("SELECT p_partkey, 0 AS i, '' AS t, false AS b, CAST(0 AS DOUBLE) AS f, CAST(0 AS BIGINT) AS n FROM part")
@@ -558,3 +547,109 @@ def stream_groups(spark, d):
     grouped = rows.group_map(lambda r: r.event_type, lambda g: {"n": g.count(), "top": g.max("user_id")})
     streaming.each_batch(grouped, lambda df, i: df.write.mode("overwrite").parquet(f"{folder}/out"), f"{folder}/checkpoint", "complete")
     return spark.read.parquet(f"{folder}/out")
+
+
+@query("SELECT o_orderstatus || '/' || left(o_orderpriority, 1) AS kind, count(*) AS n, CAST(min(o_orderkey) AS BIGINT) AS first FROM orders GROUP BY 1")
+def group_array_keys(spark, d):
+    """group_map by an array, compared item by item."""
+    rows = Rel(load(spark, d, "orders"))
+    out = rows.group_map(lambda r: {"k": F.array(r.o_orderstatus, F.substring(r.o_orderpriority, 1, 1))}, lambda g: {"n": g.count(), "first": g.min("o_orderkey")})
+    return out.map(lambda r: {"kind": text.join(r.k, "/"), "n": r.n, "first": r["first"].cast("long")}).frame()
+
+
+@query("SELECT CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS day, l_linestatus, count(*) AS n FROM lineitem GROUP BY ALL")
+def group_date_keys(spark, d):
+    """group_map by a tuple of a date and a text."""
+    out = Rel(load(spark, d, "lineitem")).group_map(lambda r: {"day": F.to_date(r.l_shipdate), "l_linestatus": r.l_linestatus}, lambda g: {"n": g.count()})
+    return out.map(lambda r: {"day": r.day.cast("string"), "l_linestatus": r.l_linestatus, "n": r.n}).frame()
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, CAST(CAST(l_extendedprice AS FLOAT) AS DOUBLE) AS narrow, CAST(l_partkey AS DOUBLE) / 8 AS wide, CAST(CAST(l_partkey AS FLOAT) AS DOUBLE) AS whole,
+       CAST(l_discount > 0.05 AS INTEGER) AS flag FROM lineitem
+""")
+def casts_float(spark, d):
+    """to_float32 and to_float64."""
+    return Rel(load(spark, d, "lineitem")).map(lambda r: {"l_orderkey": r.l_orderkey, "l_linenumber": r.l_linenumber, "narrow": convert.to(r.l_extendedprice, K.Float32, K.Float64).cast("double"), "wide": convert.to(r.l_partkey, K.Float64, K.Int64) / 8, "whole": convert.to(r.l_partkey, K.Float32, K.Int64).cast("double"), "flag": ops.if_(r.l_discount > 0.05, F.lit(1), F.lit(0))}).frame()
+
+
+@query("""
+WITH x AS (SELECT o_orderkey, CAST(17999999999999999999 - o_orderkey AS DECIMAL(20,0)) AS a, CAST(o_custkey * 9000000000000 + 7 AS DECIMAL(20,0)) AS b FROM orders)
+SELECT o_orderkey, CAST((CAST(a AS HUGEINT) // CAST(b AS HUGEINT)) AS BIGINT) AS q, CAST((CAST(a AS HUGEINT) % CAST(b AS HUGEINT)) AS VARCHAR) AS r FROM x
+""")
+def uint64_division(spark, d):
+    """Whole division and remainder of unsigned 64-bit integers."""
+    kind = K.Uint64.spark
+    rows = Rel(load(spark, d, "orders")).map(lambda r: {"o_orderkey": r.o_orderkey, "a": (F.lit("17999999999999999999").cast(kind) - r.o_orderkey.cast(kind)).cast(kind), "b": (r.o_custkey.cast(kind) * F.lit("9000000000000").cast(kind) + F.lit(7)).cast(kind)})
+    return rows.map(lambda r: {"o_orderkey": r.o_orderkey, "q": ops.div(r.a, r.b, K.Uint64).cast("long"), "r": ops.mod(r.a, r.b).cast(kind).cast("string")}).frame()
+
+
+@query("SELECT c_custkey, CAST(c_nationkey AS BIGINT) AS \"from\", CAST(c_nationkey + 3 AS BIGINT) AS upto, CAST(NULL AS BIGINT) AS open, CAST(3 AS BIGINT) AS n FROM customer")
+def range_values(spark, d):
+    """a..b, with open ends, and the sequence of such a range."""
+    rows = Rel(load(spark, d, "customer")).map(lambda r: {"c_custkey": r.c_custkey, "r": ops.range_(r.c_nationkey.cast("long"), r.c_nationkey.cast("long") + 3), "tail": ops.range_(r.c_nationkey.cast("long"), None)})
+    return rows.map(lambda r: {"c_custkey": r.c_custkey, "from": r.r["start"], "upto": r.r["end"], "open": r.tail["end"], "n": arrays.count(arrays.sequence(r.r["start"], r.r["end"]))}).frame()
+
+
+@query("""
+WITH t AS (SELECT s_nationkey AS k, count(*) AS n, sum(CAST(s_acctbal AS DECIMAL(18,2))) AS total FROM supplier GROUP BY s_nationkey)
+SELECT CAST(a.k AS BIGINT) AS k, a.n, CAST(a.total AS DOUBLE) AS total, count(*) AS as_many FROM t a JOIN t b ON b.n >= a.n GROUP BY ALL
+""")
+def let_shared(spark, d):
+    """A relation that is used twice and evaluated once."""
+    t = Rel(load(spark, d, "supplier")).group_map(lambda r: {"k": r.s_nationkey}, lambda g: {"n": g.count(), "total": g.sum(money(F.col("s_acctbal")))}).let()
+    pairs = t.flat_join(t, lambda a, b: b.n >= a.n, lambda a, b: {"k": a.k.cast("long"), "n": a.n, "total": a.total.cast("double")})
+    return pairs.group_map(lambda r: {"k": r.k, "n": r.n, "total": r.total}, lambda g: {"as_many": g.count()}).frame()
+
+
+@host.external("tessera::digits", [K.Int64, K.Int32], K.Int32)
+def digits(x, base):
+    """The sum of the digits of x in a base."""
+    total = x * 0
+    while (x > 0).any():
+        total, x = total + x % base, x // base
+    return total
+
+
+@query("""
+SELECT p_partkey, CAST(list_sum([CAST(c AS INTEGER) FOR c IN string_split(CAST(p_partkey AS VARCHAR), '')]) AS INTEGER) AS tens, bit_count(CAST(p_partkey AS BIGINT))::INTEGER AS ones,
+       CAST(list_sum([CAST(c AS INTEGER) FOR c IN string_split(CAST(p_size AS VARCHAR), '')]) AS INTEGER) AS by_sql FROM part
+""")
+def host_function(spark, d):
+    """A typed function of the host, called on columns and, by its registered name, in raw SQL."""
+    load(spark, d, "part").createOrReplaceTempView("tessera_part")
+    own = digits.register(spark)
+    rows = tables.raw(spark, f"SELECT p_partkey, {own}(CAST(p_size AS BIGINT), 10) AS by_sql FROM tessera_part")
+    call = host.lookup(spark, "tessera::digits")
+    return rows.map(lambda r: {"p_partkey": r.p_partkey, "tens": call(r.p_partkey, F.lit(10)), "ones": call(r.p_partkey, F.lit(2)), "by_sql": r.by_sql}).frame()
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def arrow_roundtrip(spark, d):
+    """A small relation as an Arrow table and back."""
+    table = tables.to_arrow(Rel.of(load(spark, d, "nation"), "n_nationkey"))
+    if table.column("n_nationkey").to_pylist() != sorted(table.column("n_nationkey").to_pylist()):
+        raise RuntimeError("the Arrow table is not in the relation's order")
+    return tables.from_arrow(spark, table).frame()
+
+
+@query("SELECT c_custkey, c_name, c_mktsegment FROM customer")
+def csv_roundtrip(spark, d):
+    """A relation written as CSV and read again."""
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}/csv"
+    rows = Rel(load(spark, d, "customer")).map(lambda r: {"c_custkey": r.c_custkey, "c_name": r.c_name, "c_mktsegment": r.c_mktsegment})
+    tables.write_csv(rows, path)
+    return spark.read.schema(rows.df.schema).csv(path, header=True)
+
+
+@query("""
+SELECT e.event_id, CASE e.event_type WHEN 'click' THEN 'click ' || (e.user_id % 3) ELSE 'other' END AS said FROM events e WHERE e.user_id % 7 IN (1, 3, 5) AND e.value >= 10
+""")
+def query_parameters(spark, d):
+    """Parameters that are scalars, arrays and tagged unions, in raw SQL and as a relation."""
+    load(spark, d, "events").createOrReplaceTempView("tessera_events")
+    least = Enum(least=T.DoubleType(), none=None)
+    rows = tables.raw(spark, "SELECT event_id, event_type, user_id, value FROM tessera_events WHERE array_contains(:own, user_id % :n)", own=[1, 3, 5], n=7)
+    held = tables.with_parameters(spark, {"kinds": ["click", "tap"], "by": 3, "bound": (least.tag("least"), 10.0)}, T.StructType([T.StructField("kinds", T.ArrayType(T.StringType())), T.StructField("by", T.IntegerType()), T.StructField("bound", least.type)]))
+    fits = lambda r, p: least.match(p.bound, F.lit(True), least=lambda x: r.value >= x)
+    return rows.flat_join(held, fits, lambda r, p: {"event_id": r.event_id, "said": F.when(arrays.contains(p.kinds, r.event_type), F.concat(F.lit("click "), (r.user_id % p.by).cast("string"))).otherwise("other")}).frame()

@@ -18,21 +18,37 @@ from pyspark.sql import types as T
 from ..operators.rel import Fields, Rel
 
 
+#: The setting that names what a session may do, separated by commas; unset or empty: everything.
+CAPABILITIES = "tessera.capabilities"
+
+
 class NotSupported(RuntimeError):
     """The session may not use this capability."""
 
 
 class Capabilities:
-    """What a session may do; all if no names are given."""
+    """What a session may do: names such as ``sql::raw``, or ``sql`` for all of that module; all if no names are given."""
 
     def __init__(self, *names: str) -> None:
         self.names = set(names)
 
+    @classmethod
+    def of(cls, spark: SparkSession) -> Capabilities:
+        return cls(*[x for x in (spark.conf.get(CAPABILITIES, None) or "").split(",") if x])
+
+    def grant(self, spark: SparkSession) -> None:
+        """Sources, sinks and host functions of this session are held to these names from here on."""
+        spark.conf.set(CAPABILITIES, ",".join(sorted(self.names)))
+
     def require(self, name: str) -> None:
-        if self.names and name not in self.names:
+        if self.names and name not in self.names and name.partition("::")[0] not in self.names:
             raise NotSupported(name)
 
 
+def _require(spark: SparkSession, name: str) -> None:
+    Capabilities.of(spark).require(name)
+
+
 def _name(name: str) -> str:
     """``schema/table`` is split at the first slash."""
     return ".".join(f"`{x}`" for x in name.split("/", 1))
@@ -40,12 +56,15 @@ def _name(name: str) -> str:
 
 def from_table(spark: SparkSession, name: str, columns: Iterable[str] | None = None) -> Rel:
     """A table's rows, in no order; ``columns`` are those of the declared row type."""
+    _require(spark, "sql::from")
     df = spark.table(_name(name))
     return Rel(df.select(*columns) if columns is not None else df)
 
 
 def raw(spark: SparkSession, sql: str, schema: str | T.StructType | None = None, **parameters: object) -> Rel:
-    """The rows of any SQL text, cast to the declared schema; parameters are named (``:name``)."""
+    """The rows of any SQL text, cast to the declared schema; parameters are named (``:name``), scalars or arrays (lists); for others see ``with_parameters``."""
+    _require(spark, "sql::raw")
+    parameters = {k: F.array(*map(F.lit, v)) if isinstance(v, (list, tuple)) else v for k, v in parameters.items()}
     df = spark.sql(sql, args=parameters or None)
     if schema is not None:
         kind = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
@@ -56,6 +75,7 @@ def raw(spark: SparkSession, sql: str, schema: str | T.StructType | None = None,
 def insert(rows: Rel | DataFrame, name: str) -> None:
     """Append by column name."""
     df = rows.frame() if isinstance(rows, Rel) else rows
+    _require(df.sparkSession, "sql::insert")
     df.sparkSession.table(_name(name)).select(*df.columns)
     df.writeTo(_name(name)).append() if _is_v2(df.sparkSession, name) else _append(df, name)
 
@@ -82,14 +102,16 @@ def _replace(spark: SparkSession, name: str, new: DataFrame) -> None:
 
 def update(spark: SparkSession, name: str, when: Callable[[Fields], Column], new: Callable[[Fields], dict[str, Column]]) -> None:
     """Rows where ``when`` holds get the columns of ``new``; the others stay."""
-    rel = from_table(spark, name)
+    _require(spark, "sql::update")
+    rel = Rel(spark.table(_name(name)))
     fits, changed = F.coalesce(when(rel.rows), F.lit(False)), new(rel.rows)
     kinds = {f.name: f.dataType for f in rel.df.schema}
     _replace(spark, name, rel.df.select(*[(F.when(fits, changed[c]).otherwise(F.col(c)).cast(kinds[c]) if c in changed else F.col(c)).alias(c) for c in rel.df.columns]))
 
 
 def delete(spark: SparkSession, name: str, when: Callable[[Fields], Column]) -> None:
-    rel = from_table(spark, name)
+    _require(spark, "sql::delete")
+    rel = Rel(spark.table(_name(name)))
     _replace(spark, name, rel.df.where(~F.coalesce(when(rel.rows), F.lit(False))))
 
 
@@ -106,11 +128,13 @@ class Files:
         return f"{self.root}/{inner}"
 
     def read_parquet(self, name: str, schema: T.StructType | None = None) -> Rel:
+        _require(self.spark, "fs::read_parquet")
         reader = self.spark.read
         return Rel((reader.schema(schema) if schema is not None else reader).parquet(self.path(name)))
 
     def write_parquet(self, rows: Rel, name: str, single: bool = False) -> None:
         """zstd files in the relation's order; ``single``: one file (for small results)."""
+        _require(self.spark, "fs::write_parquet")
         df = rows.frame(ordered=bool(rows.order))
         (df.coalesce(1) if single else df).write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
 
@@ -157,7 +181,7 @@ def show(rows: Rel, n: int = 20) -> str:
     return rows.frame(ordered=True)._jdf.showString(n, 0, False)
 
 
-def with_parameters(spark: SparkSession, values: Mapping[str, object], schema: str) -> Rel:
-    """Query parameters as a relation of one row."""
-    kind = T._parse_datatype_string(schema)
+def with_parameters(spark: SparkSession, values: Mapping[str, object], schema: str | T.StructType) -> Rel:
+    """Query parameters of any type (tagged unions are tuples of the tag and the payloads) as a relation of one row."""
+    kind = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     return Rel.literal(spark, [tuple(values[f.name] for f in kind.fields)], kind)

@@ -22,7 +22,7 @@ def db():
 
 def rows(df: pd.DataFrame) -> list:
     def plain(x):
-        if x is None or x is pd.NaT or (isinstance(x, float) and x != x):
+        if x is None or (pd.api.types.is_scalar(x) and pd.isna(x)):
             return None
         return x if not isinstance(x, float) else int(x) if x == int(x) else round(x, 9)
 
