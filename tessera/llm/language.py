@@ -1,7 +1,7 @@
 """Language identification with hyperdimensional profiles.
 
 Each letter has a random vector of +1 and -1, made from its code point. An n-gram is the product
-(binding) of its letters' vectors, each rolled (permuted) by its place; a text is the sum (bundle) of
+(binding) of its letters' vectors, each rolled (permuted) by its place from the end; a text is the sum (bundle) of
 its n-grams, and a language is the sum of its training texts at unit length, less what all languages
 have in common. A text gets the language whose prototype has the largest cosine with it.
 

@@ -30,7 +30,7 @@ BITS, SIZES = 18, (4,)
 #: Labelled texts from which ratios are learned, and of each label those on which the regression is fitted (about, at most).
 LEARN_ROWS = 40_000
 FIT_ROWS = 1_500
-#: Bytes of features (4 each) that the regression is fitted on, at most: those of the texts whose features have the smallest hashes.
+#: Bytes of features (4 each) that the regression is fitted on, at most, half for each label: those of the texts whose features have the smallest hashes.
 FIT_BYTES = 48 << 20
 #: Steps of the descent, what is added to counts, texts a feature must be in, and the penalty on squared weights.
 STEPS, SMOOTH, LEAST, DECAY = 80, 0.3, 3, 1e-4
@@ -122,12 +122,14 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     number = number[:, :-1] + SMOOTH
     ratios = np.log(number[1] / (texts[1] + 2 * SMOOTH)) - np.log(number[0] / (texts[0] + 2 * SMOOTH))
     ratios[rare] = 0
-    taken, held = [], 0
-    for r in found.where("features IS NOT NULL").select("label", "features").orderBy(F.xxhash64("features"), "label", "features").toLocalIterator():
-        held += len(r.features)
-        if held > FIT_BYTES:
-            break
-        taken.append((r.label, bytes(r.features)))
+    taken = []
+    for label in (0, 1):
+        held = 0
+        for r in found.where(f"features IS NOT NULL AND label = {label}").select("features").orderBy(F.xxhash64("features"), "features").toLocalIterator():
+            held += len(r.features)
+            if held > FIT_BYTES // 2:
+                break
+            taken.append((label, bytes(r.features)))
     return _fit(sorted(taken), ratios, texts)
 
 

@@ -61,8 +61,8 @@ SYLLABLES = [c + v + e for c in "b d f g h k l m n p r s t th v w sh st".split()
 BEFORE, DOMAINS = ["", "", "www.", "m.", "blog.", "shop."], ["example.com", "example.net", "example.org", "com", "net", "info", "co.uk"]
 PATHS = ["", "/", "/{l}/{n}", "/{l}/{n}/", "/{l}/{n}.html", "/{l}/{n}?page=2&ref=x", "/{l}/{n}#top", "/{l}/{n}?utm_source=feed", "/index.php?id={n}", "/posts/{n}", "/img/{n}.png"]
 BAD_PATHS, GOOD_PATHS = ["/buy-now/{n}", "/claim-your-prize", "/redirect?ad={n}", "/free-download/{n}.exe", "/live-cams"], ["/about", "/contact", "/articles/{n}", "/opening-hours", "/catalogue/{n}"]
-#: Labelled urls from which the query learns, half of them to block.
-LABELLED_ROWS = 1600
+#: Labelled urls from which the query learns, a third of them to block.
+LABELLED_ROWS = 2400
 
 
 def labelled(rows: int = LABELLED_ROWS, seed: int = 29) -> list[tuple[str, int]]:
@@ -79,7 +79,7 @@ def labelled(rows: int = LABELLED_ROWS, seed: int = 29) -> list[tuple[str, int]]
 
     out = []
     for i in range(rows):
-        label = i % 2
+        label = int(i % 3 == 0)
         path = rnd.choice((BAD_PATHS if label else GOOD_PATHS) if rnd.random() < 0.15 else PATHS).format(l=rnd.choice(["en", "de", "fr", "es"]), n=rnd.randint(1, 9999))
         out.append((f"{rnd.choice(['http', 'https'])}://{rnd.choice(BEFORE)}{host(label)}.{rnd.choice(DOMAINS)}{path}", label))
     return out
