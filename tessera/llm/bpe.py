@@ -21,7 +21,7 @@ import base64
 import heapq
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +31,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import memory_returned, slices, some_texts, text_of
+from .common import memory_returned, prepare, slices, some_texts, text_of
 
+Step = Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 NONE = np.int32(2**31 - 1)
 #: Bytes of text whose new pre-tokens are replayed together.
 BLOCK_BYTES = 10 << 20
@@ -261,8 +262,9 @@ def _blocks(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[tuple[list
         yield ids, texts
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per row of ``docs``: its id and ``ids``, the token ids as little-endian 32-bit integers."""
+def _encoding(docs: DataFrame, ranks_path: str, pattern: str, id_col: str, text_col: str, block_bytes: int) -> tuple[DataFrame, T.StructField, Step]:
+    """The rows to encode, the id's field, and the step from them to ids."""
+    prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col), text_of(text_col).alias("text"))
     kind = rows.schema[0]
     arrow = to_arrow_type(kind.dataType)
@@ -277,17 +279,15 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                 for i in range(0, len(ids), 500):
                     yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + 500], arrow), pa.array([e.astype("<u4").tobytes() for e in encoded[i : i + 500]], pa.binary())], [id_col, "ids"])
 
-    return rows.mapInArrow(run, T.StructType([T.StructField(id_col, kind.dataType), T.StructField("ids", T.BinaryType())]))
+    return rows, kind, run
 
 
-def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``encode`` with ``bytes``, what their ids stand for (the UTF-8 of the text)."""
-    kind = encoded.schema[id_col]
+def _decoding(ranks_path: str, id_col: str) -> Step:
+    """The step from rows of an id and ids to these and ``bytes``."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = load_ranks(ranks_path)
-        size = max(ranks.values()) + 1
-        lengths = np.zeros(size, np.int64)
+        lengths = np.zeros(max(ranks.values()) + 1, np.int64)
         for token, rank in ranks.items():
             lengths[rank] = len(token)
         starts = np.cumsum(lengths) - lengths
@@ -299,12 +299,35 @@ def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id") -> DataF
                 out.append(flat[spread(starts[ids], lengths[ids])].tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], [id_col, "ids", "bytes"])
 
-    return encoded.select(id_col, "ids").mapInArrow(run, T.StructType([T.StructField(id_col, kind.dataType), T.StructField("ids", T.BinaryType()), T.StructField("bytes", T.BinaryType())]))
+    return run
+
+
+def _schema(kind: T.StructField, *names: str) -> T.StructType:
+    return T.StructType([T.StructField(kind.name, kind.dataType), *(T.StructField(n, T.BinaryType()) for n in names)])
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row per row of ``docs``: its id and ``ids``, the token ids as little-endian 32-bit integers."""
+    rows, kind, run = _encoding(docs, ranks_path, pattern, id_col, text_col, block_bytes)
+    return rows.mapInArrow(run, _schema(kind, "ids"))
+
+
+def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``encode`` with ``bytes``, what their ids stand for (the UTF-8 of the text)."""
+    prepare(encoded.sparkSession)
+    return encoded.select(id_col, "ids").mapInArrow(_decoding(ranks_path, id_col), _schema(encoded.schema[id_col], "ids", "bytes"))
+
+
+def there_and_back(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``decode`` of ``encode``, both in one worker instead of one each."""
+    rows, kind, run = _encoding(docs, ranks_path, pattern, id_col, text_col, block_bytes)
+    back = _decoding(ranks_path, id_col)
+    return rows.mapInArrow(lambda batches: back(run(batches)), _schema(kind, "ids", "bytes"))
 
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """Contract columns of an encoding and of what decoding it gives."""
-    return decode(encode(docs, ranks_path, pattern), ranks_path).select(
+    return there_and_back(docs, ranks_path, pattern).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

@@ -14,8 +14,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that are looked at together, and bytes of an Arrow batch in steps whose tasks hold much else.
+#: Rows that are looked at together, and bytes of an Arrow batch.
 BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
+#: Bytes from which a piece of a worker's memory is the system's own.
+MAPPED = 4 << 20
 #: Texts from which tables of frequent strings are made, and the bytes of the longest of them: the driver gets 64 MiB at most.
 SAMPLE_ROWS, SAMPLE_BYTES = 4_096, 16 << 10
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -48,9 +50,13 @@ def _set(spark: SparkSession, name: str, value: str) -> Iterator[None]:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
-def prepared(spark: SparkSession):
-    """Within, Arrow batches are small in bytes; for steps that are run there and then."""
-    return _set(spark, _BYTES, str(BATCH_BYTES))
+def prepare(spark: SparkSession) -> None:
+    """Hold the session's Arrow batches to ``BATCH_BYTES`` bytes (Spark's own bound is 64 MiB), for rows that are worked on when the caller asks.
+
+    Spark reads this when a plan runs, so it cannot be restored before; it changes no result.
+    """
+    if spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BYTES, "64m")) > BATCH_BYTES:
+        spark.conf.set(_BYTES, str(BATCH_BYTES))
 
 
 def shuffle_files_removed(spark: SparkSession):
@@ -98,16 +104,18 @@ class Workspace:
 
 @contextmanager
 def memory_returned(*caches) -> Iterator[None]:
-    """At the end of a task, empties caches and returns freed memory to the system: a Python worker lives on and serves other stages."""
+    """Large pieces of memory go back to the system when freed; at the end of a task, caches are emptied and the rest goes back: a Python worker lives on and serves other stages."""
     pa.set_memory_pool(pa.system_memory_pool())
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "mallopt"):  # glibc only; -3 is M_MMAP_THRESHOLD, which then no longer grows
+        libc.mallopt(-3, MAPPED)
     try:
         yield
     finally:
         for cache in caches:
             cache.clear()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
-        if trim is not None:
-            trim(0)
+        if hasattr(libc, "malloc_trim"):
+            libc.malloc_trim(0)
 
 
 def slices(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:

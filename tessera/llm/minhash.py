@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Workspace, memory_returned, row_of, slices, text_of
+from .common import Workspace, memory_returned, prepare, row_of, slices, text_of
 from .components import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -268,6 +268,7 @@ def _leftover_links(rest: DataFrame, texts: DataFrame, threshold: float, weighte
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, weighted: bool = False) -> DataFrame:
     """One row per id (not null) of ``docs``: its id, ``class_id``, the smallest id that links lead to, and its number of ``rows``."""
+    prepare(docs.sparkSession)
     spark = docs.sparkSession
     work = Workspace(spark, "minhash")
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))

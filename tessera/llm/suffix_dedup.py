@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Workspace, memory_returned, prepared, row_of, text_of
+from .common import Workspace, memory_returned, prepare, row_of, text_of
 
 WINDOW, GRAM = 50, 16
 #: Bytes of text that are looked at together; bytes of suffixes in a shard, from which their number follows.
@@ -57,6 +57,8 @@ STRETCH, PIECE, COMPRESSED = 1 << 15, 1 << 18, 1 << 10
 KEPT_PER_BYTE, BATCHES = 3.7, 3
 #: Suffixes with copies that a task remembers, and heads that it counts.
 REMEMBERED, COUNTED = 20_000, 20_000
+#: Hot heads (8 bytes each) that tasks get at most, those with the most suffixes; it changes no result.
+MAX_HOT = 1_000_000
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _SCHEMA = "kind string, shard int, data binary"
 #: Places of a window that its anchor can have, at most (bits of a number).
@@ -239,10 +241,10 @@ def _anchors(loads: np.ndarray, n: int, span: int) -> np.ndarray:
     return out
 
 
-def suffixes(texts: list[bytes], docs: np.ndarray, window: int = WINDOW, hot: np.ndarray | None = None, shards: int = 1, group: int = 0, groups: int = 1) -> tuple[Run, np.ndarray, np.ndarray, np.ndarray]:
+def suffixes(texts: list[bytes], docs: np.ndarray, window: int = WINDOW, hot: np.ndarray | None = None, shards: int = 1, group: int = 0, groups: int = 1, places: np.ndarray | int = 0) -> tuple[Run, np.ndarray, np.ndarray, np.ndarray]:
     """The anchored suffixes of a block of texts whose shards are of the group; each one's fingerprint, shard and hash of its head.
 
-    Windows of suffixes whose head is in ``hot`` (ascending) are suffixes of their own.
+    Windows of suffixes whose head is in ``hot`` (ascending) are suffixes of their own. ``places``: where the texts, if they are pieces, begin.
     """
     data = np.frombuffer(b"".join(texts) + bytes(16), np.uint8)
     n = len(data) - 16
@@ -275,7 +277,7 @@ def suffixes(texts: list[bytes], docs: np.ndarray, window: int = WINDOW, hot: np
         windows, at, anchors, heads, home, text = (x[own] for x in (windows, at, anchors, heads, home, text))
     # Equal suffixes have equal fingerprints; those of others, which are few, are told apart by their bytes.
     prints = _mix(_mix(heads, loads[at], _C[0]), loads[at + windows + (window - 9)], _C[2]) ^ (windows << 8 | anchors - at).astype(np.uint64)
-    run = Run(docs[text], windows.astype(np.uint8), (anchors - at).astype(np.uint8), np.ones(len(at), np.uint32), at, (at - begin[text]).astype(np.uint32), data, window)
+    run = Run(docs[text], windows.astype(np.uint8), (anchors - at).astype(np.uint8), np.ones(len(at), np.uint32), at, (at - (begin - places)[text]).astype(np.uint32), data, window)
     return run, prints, home, heads
 
 
@@ -446,18 +448,22 @@ def _pack_spans(spans: tuple[np.ndarray, ...]) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(np.concatenate([x.astype("<i8") for x in spans]).tobytes())
 
 
-def _blocks(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, list[bytes]]]:
-    docs, texts, held = [], [], 0
+def _blocks(batches: Iterable[pa.RecordBatch], size: int, window: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+    """Documents, places and bytes of about ``size`` bytes of texts together; longer texts come in pieces that have all windows between them, each once."""
+    docs, places, texts, held = [], [], [], 0
     for b in batches:
         for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            docs.append(d)
-            texts.append(t.encode())
-            held += len(texts[-1])
-            if held >= size:
-                yield np.array(docs, np.int64), texts
-                docs, texts, held = [], [], 0
+            data = t.encode()
+            for at in range(0, max(1, len(data) - window + 1), size):
+                docs.append(d)
+                places.append(at)
+                texts.append(data[at : at + size + window - 1])
+                held += len(texts[-1])
+                if held >= size:
+                    yield np.array(docs, np.int64), np.array(places, np.int64), texts
+                    docs, places, texts, held = [], [], [], 0
     if docs:
-        yield np.array(docs, np.int64), texts
+        yield np.array(docs, np.int64), np.array(places, np.int64), texts
 
 
 def batch_runs(docs: DataFrame, shards: int, window: int = WINDOW, hot: np.ndarray | None = None, group: int = 0, groups: int = 1, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -466,8 +472,8 @@ def batch_runs(docs: DataFrame, shards: int, window: int = WINDOW, hot: np.ndarr
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with memory_returned():
             copies = Copies(window)
-            for ids, texts in _blocks(batches, block_bytes):
-                found, prints, home, _ = suffixes(texts, ids, window, hot, shards, group, groups)
+            for ids, places, texts in _blocks(batches, block_bytes, window):
+                found, prints, home, _ = suffixes(texts, ids, window, hot, shards, group, groups, places)
                 if not len(found.doc):
                     continue
                 rest, stay, spans = copies.split(found, prints)
@@ -493,7 +499,7 @@ def batch_runs(docs: DataFrame, shards: int, window: int = WINDOW, hot: np.ndarr
 def hot_heads(docs: DataFrame, window: int = WINDOW, bound: int = SHARD_BYTES // 4) -> np.ndarray:
     """Hashes (ascending) of heads whose different suffixes take more than ``bound`` bytes, over all documents (doc_id, text).
 
-    Tasks count copies once a block, and each hands on its ``COUNTED`` heads with the most at most.
+    Tasks count copies once a block, and each hands on its ``COUNTED`` heads with the most; there are ``MAX_HOT`` at most.
     """
 
     def most(heads: np.ndarray, number: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -505,7 +511,7 @@ def hot_heads(docs: DataFrame, window: int = WINDOW, bound: int = SHARD_BYTES //
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with memory_returned():
             seen, number, held = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
-            for ids, texts in _blocks(batches, BLOCK_BYTES):
+            for ids, _, texts in _blocks(batches, BLOCK_BYTES, window):
                 _, prints, _, heads = suffixes(texts, ids, window)
                 own, times = np.unique(heads[np.unique(prints, return_index=True)[1]], return_counts=True)
                 seen.append(own)
@@ -517,7 +523,7 @@ def hot_heads(docs: DataFrame, window: int = WINDOW, bound: int = SHARD_BYTES //
             heads, times = most(np.concatenate(seen), np.concatenate(number), COUNTED)
             yield pa.RecordBatch.from_arrays([pa.array(heads[times > 1].view(np.int64)), pa.array(times[times > 1])], ["head", "n"])
 
-    found = docs.mapInArrow(run, "head long, n long").groupBy("head").agg(F.sum("n").alias("n")).where(F.col("n") * (2 * window - GRAM) > bound)
+    found = docs.mapInArrow(run, "head long, n long").groupBy("head").agg(F.sum("n").alias("n")).where(F.col("n") * (2 * window - GRAM) > bound).orderBy(F.desc("n"), "head").limit(MAX_HOT)
     return np.sort(np.array([r.head for r in found.select("head").toLocalIterator()], np.int64).view(np.uint64))
 
 
@@ -615,6 +621,7 @@ def unpacked(spans: list[DataFrame]) -> DataFrame:
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, batches: int = BATCHES) -> DataFrame:
     """Spans of all documents that repeat a smaller document: doc_id, ``spans`` (list of packed pairs)."""
     spark = docs.sparkSession
+    prepare(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).where(F.col("doc_id").isNotNull())
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = GROUPS * math.ceil(max(LEAST_SHARDS, total * KEPT_PER_BYTE / SHARD_BYTES) / GROUPS)
@@ -622,18 +629,17 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     edges = [None, *map(int, cuts), None]
     spans: list[DataFrame] = []
     work = Workspace(spark, "suffix")
-    with prepared(spark):
-        hot = hot_heads(rows, window)
-        for group in range(GROUPS):
-            index = SuffixIndex(spark, shards, window, hot, group, GROUPS, work)
-            for low, high in zip(edges[:-1], edges[1:], strict=True):
-                part = rows
-                part = part if low is None else part.where(F.col("doc_id") > low)
-                part = part if high is None else part.where(F.col("doc_id") <= high)
-                index.add(part, last=high is None)
-            index.close()
-            spans += index.spans
-        out, path = work.write(unpacked(spans).groupBy("doc_id").agg(F.collect_list("spans").alias("spans")))
+    hot = hot_heads(rows, window)
+    for group in range(GROUPS):
+        index = SuffixIndex(spark, shards, window, hot, group, GROUPS, work)
+        for low, high in zip(edges[:-1], edges[1:], strict=True):
+            part = rows
+            part = part if low is None else part.where(F.col("doc_id") > low)
+            part = part if high is None else part.where(F.col("doc_id") <= high)
+            index.add(part, last=high is None)
+        index.close()
+        spans += index.spans
+    out, path = work.write(unpacked(spans).groupBy("doc_id").agg(F.collect_list("spans").alias("spans")))
     work.clear(path)
     return out
 

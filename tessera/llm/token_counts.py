@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import memory_returned, slices, some_texts, text_of
+from .common import memory_returned, prepare, slices, some_texts, text_of
 
 #: Entries of the broadcast table, and bytes of the longest pre-token in it or in a cache.
 TABLE_SIZE, WORD_CHARS = 1 << 16, 48
@@ -89,6 +89,7 @@ def frequent_pretokens(texts: Iterable[str], table_size: int = TABLE_SIZE) -> li
 def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text", table_size: int = TABLE_SIZE) -> DataFrame:
     """One row per row of ``docs``: its id, n_bytes, n_tokens and whether these exceed ``limit``."""
     spark = docs.sparkSession
+    prepare(docs.sparkSession)
     count = piece_counter(model_path)
     frequent = {w: count(w) for w in frequent_pretokens(some_texts(docs, text_col), table_size)}
     shared = spark.sparkContext.broadcast(frequent)

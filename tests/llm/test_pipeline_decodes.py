@@ -23,7 +23,7 @@ def test_ids_give_back_the_texts(spark):
 
 
 def test_ids_of_another_text_fail(spark, monkeypatch):
-    whole = bpe.encode
-    monkeypatch.setattr(bpe, "encode", lambda d, *a, **k: whole(d.withColumn("text", F.regexp_replace("text", "next", "last")), *a, **k))
+    whole = bpe.there_and_back
+    monkeypatch.setattr(bpe, "there_and_back", lambda d, *a, **k: whole(d.withColumn("text", F.regexp_replace("text", "next", "last")), *a, **k))
     with pytest.raises(Exception, match="do not give back the text of document 3"):
         corpus_pipeline.encode(spark, docs(spark), "").collect()
