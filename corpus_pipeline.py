@@ -1,6 +1,11 @@
 """A training corpus from ``documents``: five stages, each written as Parquet and read again as the next one's input.
 
 Stages work on all that their predecessor kept; all but the last return the columns of documents.
+
+Defined results: null and empty texts are not toxic unless the labels say so of nothing; they are equal to
+one another, so the one with the smallest id stays; they lose nothing and have no token. Rows with a null id
+are never copies, lose nothing and keep their null. Rows that share an id become one. Columns other than those
+of documents are left out, whatever their names. Empty documents give an empty result.
 """
 
 from __future__ import annotations
@@ -44,7 +49,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     tokenizers = importlib.import_module("public_tokenizers")
     path = tokenizers.path("byte_bpe_multi_50k.tiktoken")
     rows = docs.select(F.struct("doc_id", F.sha2(text_of().cast("binary"), 256).alias("sha256")).alias("row"), "text")
-    both = bpe.decode(bpe.encode(rows, path, tokenizers.PATTERN, id_col="row"), path, id_col="row")
+    both = bpe.there_and_back(rows, path, tokenizers.PATTERN, id_col="row")
     same = F.sha2("bytes", 256) == F.col("row.sha256")
     wrong = F.raise_error(F.concat(F.lit("the ids do not give back the text of document "), F.coalesce(F.col("row.doc_id").cast("string"), F.lit("null"))))
     ids = both.select("row.doc_id", F.when(same, F.col("ids")).otherwise(wrong.cast("binary")).alias("ids"))
