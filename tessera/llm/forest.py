@@ -9,9 +9,10 @@ meets in several leaves counts in the first of them only. Each leaf gives a row
 number of links there and the smallest vector that the leaf's links lead to; numbers are summed and
 these stars are united by connected components. No pair is ever written.
 
-The forest is fitted on at most ``SAMPLE`` vectors (the smallest hashes); all are indexed and compared.
-Its depth follows the number of vectors up to what the sample supports; beyond that, leaves are larger
-and are compared in more blocks.
+The first splits are fitted on at most ``SAMPLE`` vectors (the smallest hashes), as deep as these support.
+Leaves that are then still large are split further in rounds of ``LEVELS`` levels, each leaf by a sample
+of its own vectors, so that leaves keep their size, and comparisons stay in proportion, however many
+vectors there are. What cannot be parted (nearly all within the margin) is compared in blocks.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, and those with a
 null label, have no link and are their own component; vectors of different lengths have no link; rows
@@ -23,13 +24,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, prepare, slices
 from .components import components
 
 THRESHOLD = 0.98
@@ -40,6 +42,9 @@ SAMPLE_NUMBERS = 4_000_000
 MARGIN = 1.0
 #: Sampled vectors that a split needs, and vectors that are compared with as many at once.
 LEAST, BLOCK = 24, 2000
+#: Leaves of so many times the size asked for are split further: levels a round, vectors of a leaf that it is fitted on (about), rounds at most, depth of a tree at most.
+LARGE, LEVELS, OWN, ROUNDS, DEEPEST = 4, 4, 1_000, 12, 44
+_TREE = 48
 
 
 class Tree:
@@ -80,6 +85,114 @@ class Tree:
         return out
 
 
+@lru_cache(maxsize=1024)
+def _direction(tree: int, depth: int, size: int) -> np.ndarray:
+    """The direction of all splits of a tree at a depth, below those that are fitted on the first sample."""
+    d = np.random.default_rng([SEED, tree, depth, size]).standard_normal(size)
+    return d / np.linalg.norm(d)
+
+
+def _cuts(at: np.ndarray, margin: float, seed: int) -> np.ndarray:
+    """Cuts of a subtree of ``LEVELS`` levels (by heap number; NaN: no split) from the projections of some of a leaf's vectors."""
+    rng, cuts, members = np.random.default_rng(seed), np.full(1 << LEVELS, np.nan), {1: np.arange(len(at))}
+    for node in range(1, 1 << LEVELS):
+        own = members.get(node, ())
+        if len(own) < LEAST:
+            continue
+        p = at[own, node.bit_length() - 1]
+        cut = float(np.quantile(p, rng.uniform(0.4, 0.6)))
+        left, right = p <= cut + margin, p > cut - margin
+        if left.mean() <= 0.85 and right.mean() <= 0.85:
+            cuts[node] = cut
+            members[2 * node], members[2 * node + 1] = own[left], own[right]
+    return cuts
+
+
+def _routed(at: np.ndarray, cuts: np.ndarray, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of rows and, beside them, the heap numbers of the subtree's leaves they get to."""
+    row, node = np.arange(len(at)), np.ones(len(at), np.int64)
+    done = []
+    for level in range(LEVELS):
+        cut = cuts[row, node]
+        stay = np.isnan(cut)
+        done.append((row[stay], node[stay]))
+        row, node, cut = row[~stay], node[~stay], cut[~stay]
+        p = at[row, level]
+        left, right = p <= cut + margin[row], p > cut - margin[row]
+        row, node = np.concatenate([row[left], row[right]]), np.concatenate([2 * node[left], 2 * node[right] + 1])
+    done.append((row, node))
+    return np.concatenate([r for r, _ in done]), np.concatenate([n for _, n in done])
+
+
+def _list(rows: np.ndarray) -> pa.Array:
+    """The rows of a matrix as lists."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.ravel()))
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
+
+
+def _grown(codes: DataFrame, single: DataFrame, margin_of: float, leaf: int, work: Workspace) -> DataFrame:
+    """``codes`` (id, label, size, leaf) with the large leaves split further, in rounds."""
+    place = "id long, label string, size int, leaf long, n long"
+    path, codes = None, codes.withColumn("stuck", F.lit(False))
+    by = ["label", "size", "leaf"]
+    for _ in range(ROUNDS):
+        large = codes.where("NOT stuck").groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LARGE * leaf)
+        large, large_path = work.write(large)
+        if large.isEmpty():
+            break
+        same = [F.col(f"c.{c}").eqNullSafe(F.col(f"l.{c}")) for c in by]
+        rows = codes.alias("c").join(large.alias("l"), same).select("c.id", *[f"c.{c}" for c in by], "l.n").join(single.select("id", "vector"), "id")
+
+        def project(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in slices(batches, 2000):
+                size, code = b.column("size").to_numpy(), b.column("leaf").to_numpy()
+                out = np.zeros((b.num_rows, LEVELS), np.float32)
+                depth = np.array([(c & (1 << _TREE) - 1).bit_length() - 1 for c in code.tolist()], np.int64)
+                for s, t, d in {*zip(size.tolist(), (code >> _TREE).tolist(), depth.tolist(), strict=True)}:
+                    own = np.flatnonzero((size == s) & (code >> _TREE == t) & (depth == d))
+                    unit = _unit(_matrix(b.column("vector").take(pa.array(own))))
+                    out[own] = unit @ np.stack([_direction(t, d + level, s) for level in range(LEVELS)], 1)
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("id", "label", "size", "leaf", "n")), _list(out)], ["id", "label", "size", "leaf", "n", "at"])
+
+        at, at_path = work.write(rows.select("id", *by, "n", "vector").mapInArrow(project, place + ", at array<float>"))
+
+        def fit_leaf(group: pa.Table) -> pa.Table:
+            size, code = group.column("size")[0].as_py(), group.column("leaf")[0].as_py()
+            cuts = _cuts(_matrix(group.column("at")), margin_of / math.sqrt(max(1, size)), code)
+            if (code & (1 << _TREE) - 1).bit_length() + LEVELS > DEEPEST:
+                cuts[:] = np.nan
+            return pa.table({"label": group.column("label").slice(0, 1), "size": group.column("size").slice(0, 1), "leaf": group.column("leaf").slice(0, 1), "cuts": _list(cuts[None])})
+
+        some = at.where(F.pmod(F.xxhash64("id", "leaf"), F.col("n")) < OWN).select(*by, "at")
+        cuts = work.keep(some.groupBy(*by).applyInArrow(fit_leaf, "label string, size int, leaf long, cuts array<double>"))
+
+        def route(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in slices(batches, 2000):
+                size = b.column("size").to_numpy()
+                row, node = _routed(_matrix(b.column("at")), _matrix(b.column("cuts")), margin_of / np.sqrt(np.maximum(1, size)))
+                depth = np.floor(np.log2(node)).astype(np.int64)
+                code = b.column("leaf").to_numpy()[row]
+                inner = ((code & (1 << _TREE) - 1) << depth) + (node - (np.int64(1) << depth))
+                where = pa.array(row)
+                yield pa.RecordBatch.from_arrays([b.column("id").take(where), b.column("label").take(where), b.column("size").take(where), pa.array((code >> _TREE << _TREE) + inner), pa.array(node == 1)], ["id", "label", "size", "leaf", "stuck"])
+
+        same = [F.col(f"c.{c}").eqNullSafe(F.col(f"l.{c}")) for c in by]
+        split = at.alias("c").join(cuts.alias("l"), same).select("c.id", *[f"c.{c}" for c in by], "c.at", "l.cuts").mapInArrow(route, "id long, label string, size int, leaf long, stuck boolean")
+        rest = codes.alias("c").join(large.alias("l"), same, "left_anti").select("id", *by, "stuck")
+        before = path
+        # A leaf without cuts (too few of its sample) stays as it is.
+        lost = at.alias("c").join(cuts.alias("l"), same, "left_anti").select("id", *by, F.lit(True).alias("stuck"))
+        codes, path = work.write(rest.unionAll(split).unionAll(lost))
+        for p in (before, large_path, at_path):
+            if p:
+                work.drop(p)
+    return codes.drop("stuck")
+
+
 def _unit(rows: list) -> np.ndarray:
     v = np.array(rows, np.float64)
     return v / np.sqrt((v * v).sum(1, keepdims=True))
@@ -91,6 +204,11 @@ def fit(sample: np.ndarray, depth: int, threshold: float = THRESHOLD, trees: int
     return [Tree(sample, depth, margin, np.random.default_rng(SEED + i)) for i in range(trees)]
 
 
+def _widest(forest: list[Tree], sample: np.ndarray) -> float:
+    """The largest share of the sample that one leaf holds."""
+    return max((len(rows) / len(sample) for tree in forest for _, rows in tree.leaves(sample)), default=1.0) if len(sample) else 1.0
+
+
 def _groups(rows: DataFrame) -> DataFrame:
     """Rows of (key, ...) with blocks i and j of their key that they are compared in."""
     sizes = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
@@ -150,6 +268,7 @@ def _compare(threshold: float):
 
 def near_links(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE) -> DataFrame:
     """One row per id: id, n_links and component_id."""
+    prepare(vectors.sparkSession)
     spark = vectors.sparkSession
     work = Workspace(spark, "forest")
     named = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<float>").alias("vector"))
@@ -159,11 +278,17 @@ def near_links(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     named = work.keep(named.select("id", "label", "vector", F.coalesce(sound, F.lit(False)).alias("sound"), F.xxhash64("label", "vector").alias("fa"), F.xxhash64("vector", F.lit("b"), "label").alias("fb")))
     good = named.where("sound")
     single = work.keep(good.groupBy("fa", "fb").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("times"), F.min_by("vector", "id").alias("vector"), F.first("label").alias("label")))
-    largest = single.groupBy("label", F.size("vector").alias("size")).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.max_by("size", "n")).first()
+    largest = single.groupBy("label", F.size("vector").alias("size")).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.max_by("size", "n"), F.sum("n")).first()
     depth = max(0, math.ceil(math.log2(max(1, (largest[0] or 1) / leaf))))
     size = largest[1] or 1
     taken = single.where(F.size("vector") == size).select("id", "vector").orderBy(F.xxhash64("id"), "id").limit(max(1, min(sample, SAMPLE_NUMBERS // size))).collect()
-    forest = spark.sparkContext.broadcast(fit(_unit([r.vector for r in taken]) if taken else np.zeros((0, size)), depth, threshold, trees))
+    sampled = _unit([r.vector for r in taken]) if taken else np.zeros((0, size))
+    fitted = fit(sampled, depth, threshold, trees)
+    forest = spark.sparkContext.broadcast(fitted)
+    others = (largest[2] or 0) - single.where(F.size("vector") == size).count()
+    # Leaves are as large as the sample shows; vectors of other lengths begin in one leaf, or in one of each tree if they are many.
+    grows = max(_widest(fitted, sampled) * ((largest[2] or 0) - others), others) > LARGE * leaf
+    roots = trees if others > LARGE * leaf else 1
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -175,13 +300,18 @@ def near_links(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "
                 for t, tree in enumerate(forest.value):
                     for node, rows in tree.leaves(unit):
                         for r in fits[rows].tolist():
-                            lists[r].append((t << 48) + node)
+                            lists[r].append((t << _TREE) + node)
             for r in np.flatnonzero(wide != size).tolist():
-                lists[r].append((1 << 60) + int(wide[r]))  # other lengths: one leaf for each
+                lists[r] += [(t << _TREE) + 1 for t in range(roots)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), pa.array(lists, pa.list_(pa.int64()))], ["id", "label", "vector", "times", "leaves"])
 
     dealt = single.select("id", "label", "vector", "times").mapInArrow(deal, "id long, label string, vector array<float>, times long, leaves array<long>")
-    rows = dealt.withColumn("leaf", F.explode("leaves")).withColumn("key", F.struct("label", "leaf"))
+    if grows:
+        codes = work.keep(dealt.select("id", "label", F.size("vector").alias("size"), F.explode("leaves").alias("leaf")))
+        codes = _grown(codes, single, MARGIN * math.sqrt(2 * (1 - threshold)) / 2, leaf, work)
+        leaves = codes.groupBy("id").agg(F.array_sort(F.collect_set("leaf")).alias("leaves"))
+        dealt = single.select("id", "label", "vector", "times").join(leaves, "id")
+    rows = dealt.withColumn("leaf", F.explode("leaves")).withColumn("key", F.struct("label", F.size("vector").alias("size"), "leaf"))
     found = work.keep(_groups(rows).groupBy("key", "i", "j").applyInArrow(_compare(threshold), "id long, links long, root long"))
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     joined = components(found.where("id <> root").select(F.col("id").alias("u"), F.col("root").alias("v")), work)

@@ -233,10 +233,12 @@ def brute_links(vectors):
     return degree, union(ids, links)
 
 
-@pytest.mark.parametrize("block", [40, 2000])
-def test_forest(spark, monkeypatch, block):
+@pytest.mark.parametrize("block,sample,others", [(40, 20_000, 0), (2000, 20_000, 0), (2000, 60, 300)])
+def test_forest(spark, monkeypatch, block, sample, others):
+    """Also where the sample supports few splits, so that leaves are split further by samples of their own."""
     monkeypatch.setattr(forest, "BLOCK", block)
-    monkeypatch.setattr(forest, "LEAF", 20)
+    whole = forest.near_links
+    monkeypatch.setattr(forest, "near_links", lambda v: whole(v, leaf=20, sample=sample))
     rnd = np.random.default_rng(1)
     vectors = []
     for c in range(25):
@@ -244,6 +246,7 @@ def test_forest(spark, monkeypatch, block):
         for _ in range(int(rnd.integers(1, 30)) if c else 150):
             vectors.append((len(vectors) * 2, int(c % 3), (base + rnd.standard_normal(24) * rnd.choice([0, 0.05, 0.15])).astype(float).tolist()))
     vectors += [(1, None, [1.0, 0.0]), (3, 1, None), (5, 1, [0.0, 0.0]), (7, 1, [1.0, None]), (9, 1, [float("nan"), 1.0]), (11, 1, [1.0, 0.0]), (13, 1, [2.0, 0.0]), (15, 2, [1.0, 0.0]), (17, 1, [float("inf"), 1.0]), (19, 1, []), (None, 1, [1.0, 0.0])]
+    vectors += [(5001 + 2 * i, 2, (rnd.standard_normal(5) * [1, 1, 1, 1, 0.1]).tolist()) for i in range(others)]
     rows = spark.createDataFrame([(*v, "clash") for v in vectors], "vec_id long, label int, embedding array<float>, component_id string")
     out = {r.vec_id: r for r in forest.classify(rows).collect()}
     degree, root = brute_links(vectors)
