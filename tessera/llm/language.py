@@ -27,11 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, slices, text_of
+from .common import crc_mod, prepare, slices, text_of
 
 DIMENSIONS, NGRAM = 1024, 3
 #: N-grams and letters whose vectors a worker remembers (4 bytes x dimensions each), and n-grams that are added up together.
 CACHE_GRAMS, CACHE_LETTERS, TOGETHER = 20_000, 4_000, 2_000
+#: Characters whose n-grams are counted together.
+PIECE = 1 << 18
 #: Languages at most (4 bytes x dimensions each are broadcast); more are an error.
 MAX_LANGUAGES = 2_000
 #: Runs of letters (Unicode category L), and a faster pattern that also takes numbers such as a half or a Roman numeral.
@@ -78,20 +80,25 @@ class Space:
         words = words_of(text)
         if not words:
             return None
-        codes = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le"), "<u4").astype(np.int64)
-        codes = np.concatenate([codes, np.full(max(0, self.n - len(codes)), 32)])
+        text = f" {' '.join(words)} ".ljust(self.n)
+        out = np.zeros(self.dimensions, np.float32)
+        for begin in range(0, len(text) - self.n + 1, PIECE):
+            self._add(text[begin : begin + PIECE + self.n - 1], out)
+        size = float(np.sqrt(out @ out))
+        return out / np.float32(size) if size else None
+
+    def _add(self, text: str, out: np.ndarray) -> None:
+        """Add the vectors of a piece's n-grams to ``out``."""
+        codes = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.int64)
         grams = codes[: len(codes) - self.n + 1]
         for place in range(1, self.n):
             grams = grams << 21 | codes[place : len(codes) - self.n + 1 + place]
         grams, counts = np.unique(grams, return_counts=True)
-        out = np.zeros(self.dimensions, np.float32)
         for i in range(0, len(grams), TOGETHER):
             if len(self.rows) + TOGETHER > CACHE_GRAMS:
                 self.rows.clear()
             part = [self.row(g) for g in grams[i : i + TOGETHER].tolist()]
             out += counts[i : i + TOGETHER].astype(np.float32) @ self.matrix[part]
-        size = float(np.sqrt(out @ out))
-        return out / np.float32(size) if size else None
 
 
 _spaces: dict[tuple[int, int], Space] = {}
@@ -104,6 +111,7 @@ def space(dimensions: int, n: int) -> Space:
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dimensions: int = DIMENSIONS, n: int = NGRAM) -> dict[str, np.ndarray]:
     """The prototype of each language, from all rows of ``docs`` with text and language."""
 
+    prepare(docs.sparkSession)
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, sums = space(dimensions, n), {}
         for b in slices(batches):
@@ -128,6 +136,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dimen
 
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", dimensions: int = DIMENSIONS, n: int = NGRAM) -> DataFrame:
     """One row per row of ``docs``: id, lang_pred, score (how far the best cosine is towards 1)."""
+    prepare(docs.sparkSession)
     names = list(prototypes)
     shared = docs.sparkSession.sparkContext.broadcast(np.array([prototypes[k] for k in names], np.float32).reshape(len(names), dimensions))
 

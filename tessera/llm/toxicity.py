@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Workspace, crc_mod, memory_returned, slices, text_of
+from .common import Workspace, crc_mod, memory_returned, prepare, slices, text_of
 
 BITS, SIZES = 18, (4,)
 #: Labelled texts from which ratios are learned, and of each label those on which the regression is fitted (about, at most).
@@ -34,6 +34,8 @@ FIT_ROWS = 1_500
 FIT_BYTES = 48 << 20
 #: Steps of the descent, what is added to counts, texts a feature must be in, and the penalty on squared weights.
 STEPS, SMOOTH, LEAST, DECAY = 80, 0.3, 3, 1e-4
+#: Characters whose n-grams are hashed together.
+PIECE = 1 << 19
 _SPACE = re.compile(r"\s+")
 _MIX, _BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -46,12 +48,13 @@ class Features:
         self.mark = np.zeros(1 << bits, bool)
 
     def of(self, text: str) -> np.ndarray:
-        data = np.frombuffer(f" {_SPACE.sub(' ', text.lower()).strip()} ".encode("utf-32-le"), "<u4")
-        if len(data) < 3:
+        text = f" {_SPACE.sub(' ', text.lower()).strip()} "
+        if len(text) < 3:
             return np.zeros(0, np.int64)
         for size in self.sizes:
-            n = len(data) - size + 1
-            if n > 0:
+            for begin in range(0, len(text) - size + 1, PIECE):
+                data = np.frombuffer(text[begin : begin + PIECE + size - 1].encode("utf-32-le", "surrogatepass"), "<u4")
+                n = len(data) - size + 1
                 h = np.full(n, size, np.uint64)
                 for i in range(size):
                     h = h * _BASE + data[i : i + n]
@@ -89,6 +92,7 @@ def taught(labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic",
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, sizes: tuple[int, ...] = SIZES) -> Model:
     """The model of the texts that ``labels`` (see ``taught``) marks; the labels, which are bounded, are broadcast."""
+    prepare(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     rows = texts.join(F.broadcast(labels.select("id", "label", "fit")), "id").select("text", "label", "fit")
 
@@ -164,6 +168,7 @@ def _fit(taken: list[tuple[int, bytes]], ratios: np.ndarray, texts: np.ndarray)
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", bits: int = BITS, sizes: tuple[int, ...] = SIZES) -> DataFrame:
     """All columns of ``docs`` with score (0 to 1) and predicted (score >= 0.5); columns of these names are replaced."""
+    prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [c for c in docs.columns if c not in ("score", "predicted")]
     rows = docs.select(*names, text_of(text_col).alias("_text"))

@@ -274,6 +274,24 @@ def test_learned_part_of_the_url_filter(spark):
     assert sorted(f.x) == sorted(set(f.y))
 
 
+def test_very_long_texts(spark, monkeypatch):
+    """Texts far beyond a piece give what they give in one piece; nothing crashes and no character is left out."""
+    rnd = random.Random(14)
+    text = " ".join(speech(rnd.choice(["aa", "bb"]), 12, rnd) + rnd.choice(["", " été 日本", "\n"]) for _ in range(2500))
+    own, whole = toxicity.Features(), toxicity.Features().of(text)
+    space = language.Space(64)
+    bundle = space.text(text)
+    monkeypatch.setattr(toxicity, "PIECE", 1000)
+    monkeypatch.setattr(language, "PIECE", 1000)
+    assert (own.of(text) == whole).all() and np.allclose(space.text(text), bundle, atol=1e-4)
+    rows = spark.createDataFrame([(1, text * 10 + "end"), (2, text * 10), (3, "x" * 2_000_000), (4, "kalo"), (5, None)], "doc_id long, text string")
+    out = {r.doc_id: r for r in fingerprint.compare_with_next(rows).collect()}
+    assert [out[i].n_chars for i in (1, 2, 3, 5)] == [len(text) * 10 + 3, len(text) * 10, 2_000_000, 0] and out[1].near_next > 0.99 and out[1].fingerprint != out[2].fingerprint
+    assert {r.lang_pred for r in language.predict(rows.where("doc_id < 3"), language.learn(docs(spark, ["kalo mina", "ieux aillon"] * 3, ["aa", "cc"] * 3))).collect()} == {"aa"}
+    labels = toxicity.taught(spark.createDataFrame([(1, 1), (2, 1), (3, 0), (4, 0)], "doc_id long, toxic int"))
+    assert toxicity.score(rows, toxicity.learn(rows, labels)).count() == 5
+
+
 def test_url_filter_of_nothing(spark):
     pages = spark.createDataFrame([], "page_id long, url string")
     assert url_filter.judge(pages.limit(0), url_filter.RULES, url_filter.labelled_urls(spark)).count() == 0
