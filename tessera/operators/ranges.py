@@ -1,8 +1,8 @@
 """Positions, ranks and running totals over a whole relation without one task that sees all rows.
 
 Small inputs (by the optimizer's estimate) take a plain window. Others are cut into ranges of the whole
-order; each range is numbered by itself, and the ranges' totals, one row for each ``RANGE_BYTES`` of the
-input (``RANGES`` at least), are added. Ranks are found for distinct keys, which rows look up.
+order, as many as there are shuffle partitions; each range is numbered by itself, and the ranges' totals,
+one row each, are added. Ranks are found for distinct keys, which rows look up.
 """
 
 from __future__ import annotations
@@ -14,8 +14,8 @@ from ..sources.staging import written
 
 #: An estimate from which nothing is known of the size; then, rows that are few.
 UNKNOWN, SMALL_ROWS = 1 << 56, 10_000
-#: Estimated bytes up to which one window without partitions is used; ranges that larger inputs are cut into at least, and their size.
-SMALL_BYTES, RANGES, RANGE_BYTES = 16 << 20, 256, 256 << 20
+#: Estimated bytes up to which one window without partitions is used.
+SMALL_BYTES = 16 << 20
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -32,13 +32,14 @@ def is_small(df: DataFrame) -> bool:
 def in_ranges(df: DataFrame, order: list[str], ranges: int | None = None) -> DataFrame:
     """``df``, written, with ``__r``, the range of each row by the whole order, and ``__t``, which decides among rows that are equal in it.
 
-    Spark samples the keys and cuts them into ranges of about equal size; a frequent first key, or even a constant
-    one, is parted by the others and by ``__t``.
+    Spark samples the keys and cuts them into ranges of about equal size, as many as the session has shuffle
+    partitions (adaptive execution unites neighbours that are small); a frequent first key, or even a constant one,
+    is parted by the others and by ``__t``.
     """
-    size = estimated_bytes(df)
-    number = ranges or max(RANGES, 0 if size >= UNKNOWN else size // RANGE_BYTES)
     placed = df.withColumn("__t", F.monotonically_increasing_id())
-    return written(placed.repartitionByRange(number, *[F.col(o).asc_nulls_first() for o in [*order, "__t"]]).withColumn("__r", F.spark_partition_id()))
+    by = [F.col(o).asc_nulls_first() for o in [*order, "__t"]]
+    cut = placed.repartitionByRange(ranges, *by) if ranges else placed.repartitionByRange(*by)
+    return written(cut.withColumn("__r", F.spark_partition_id()))
 
 
 def _before(df: DataFrame, *totals: Column) -> DataFrame:
@@ -72,9 +73,9 @@ def with_ranks(df: DataFrame, key: str, names: dict[str, str], small: bool | Non
             df = df.withColumn(name, out.cast("int") if kind in ("rank", "rank_dense") else out)
         return df
     # Ranks are of distinct keys, counted before anything is shuffled; rows only look them up.
-    counts = df.groupBy(F.col(key).alias("__k")).agg(F.count(F.lit(1)).alias("__n"))
-    counts = with_running_sum(with_index(counts, ["__k"], "__dense", small=False), ["__k"], F.col("__n"), "__upto", small=False)
-    n = df.count()
+    counts = written(df.groupBy(F.col(key).alias("__k")).agg(F.count(F.lit(1)).alias("__n")))
+    n = counts.agg(F.sum("__n")).first()[0] or 0
+    counts = with_running_sum(with_index(counts, ["__k"], "__dense"), ["__k"], F.col("__n"), "__upto")
     rank = F.col("__upto") - F.col("__n") + 1
     found = {
         "rank": rank.cast("int"),
