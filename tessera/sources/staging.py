@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,8 +27,16 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def _remove(jvm, conf, path: str) -> None:
+    with suppress(Exception):  # the JVM may have gone first
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(conf).delete(target, True)
+
+
 def written(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet and read again; it survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/tessera-{uuid.uuid4().hex}"
+    """``df`` written as Parquet and read again; it survives lost executors, and goes when the driver's Python ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark._jvm, spark._jsc.hadoopConfiguration(), path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
