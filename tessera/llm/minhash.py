@@ -41,10 +41,10 @@ BANDS, ROWS = 24, 5
 #: Share of equal coordinates below which a pair is not checked in the last round; one of similarity 0.8 has less with probability 3e-5.
 NEAR = 0.65
 ROUNDS, BLOCK = 2, 1500
-#: Copies from which a group of equal texts is large, and large groups that are broadcast at most (32 bytes each).
+#: Copies from which a group of equal texts is large, and large groups or buckets that are broadcast at most (32 bytes each).
 LARGE, MAX_LARGE = 500, 100_000
 #: Words whose hashes a worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 _A, _B, _C, _D = (np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
 
@@ -230,8 +230,10 @@ def _leftover_links(rest: DataFrame, texts: DataFrame, threshold: float, weighte
     a pair only in its first common bucket: first by signature, which leaves the few members that are like some
     other; only these get their texts, in their blocks, so that neither pairs nor other texts are written.
     """
-    sizes = rest.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    rows = rest.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    # Buckets of one block are not looked up; larger ones are, in a broadcast table while they are few.
+    sizes = work.keep(rest.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("blocks > 1"))
+    sizes = F.broadcast(sizes) if sizes.count() <= MAX_LARGE else sizes
+    rows = rest.join(sizes, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "n", "sig", "bands")
 
