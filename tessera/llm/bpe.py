@@ -36,7 +36,7 @@ from .common import memory_returned, prepare, slices, some_texts, text_of
 Step = Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 NONE = np.int32(2**31 - 1)
 #: Bytes of text whose new pre-tokens are replayed together.
-BLOCK_BYTES = 10 << 20
+BLOCK_BYTES = 4 << 20
 #: Units that a task remembers between blocks at most, besides the table, and the length from which a unit is long.
 CACHE_UNITS, LONG_UNIT = 200_000, 256
 #: Units of the table of frequent ones at most (each under LONG_UNIT characters).

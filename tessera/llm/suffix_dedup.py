@@ -48,7 +48,7 @@ from .common import Workspace, memory_returned, prepare, row_of, text_of
 
 WINDOW, GRAM = 50, 16
 #: Bytes of text that are looked at together; bytes of suffixes in a shard, from which their number follows.
-BLOCK_BYTES, SHARD_BYTES, LEAST_SHARDS = 1 << 20, 12 << 20, 64
+BLOCK_BYTES, SHARD_BYTES, LEAST_SHARDS = 1 << 20, 8 << 20, 64
 #: Groups of shards that are worked on one after another, which divides the disk that is held.
 GROUPS = 2
 #: Places whose anchors are found together (as many as fit a cache); bytes of suffixes that are copied together; bytes from which a packed run is compressed.
