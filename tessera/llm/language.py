@@ -95,9 +95,10 @@ class Space:
             grams = grams << 21 | codes[place : len(codes) - self.n + 1 + place]
         grams, counts = np.unique(grams, return_counts=True)
         for i in range(0, len(grams), TOGETHER):
-            if len(self.rows) + TOGETHER > CACHE_GRAMS:
+            own = grams[i : i + TOGETHER].tolist()
+            if len(self.rows) + sum(g not in self.rows for g in own) > CACHE_GRAMS:
                 self.rows.clear()
-            part = [self.row(g) for g in grams[i : i + TOGETHER].tolist()]
+            part = list(map(self.row, own))
             out += counts[i : i + TOGETHER].astype(np.float32) @ self.matrix[part]
 
 
